@@ -45,3 +45,25 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null for null."""
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+
+
+def coded_words(texts: list[bytes]):
+    """Words of texts (split at ASCII white space), by dictionary: the distinct words, the number of
+    each word in turn, and where each text's words begin (one more place than texts)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    try:
+        column = pa.array(texts, pa.string())
+    except (pa.ArrowInvalid, UnicodeDecodeError):
+        column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+    lists = pc.ascii_split_whitespace(column)
+    coded = lists.values.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    numbers, places = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    if b"" in words:  # before a leading and behind a trailing space
+        keep = numbers != words.index(b"")
+        places = np.concatenate(([0], np.cumsum(keep)))[places]
+        numbers = numbers[keep]
+    return words, numbers, places

@@ -24,6 +24,7 @@ null component and links nothing.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import types
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
+from quire.llm.common import coded_words, staged
 from quire.llm.components import components
 
 WORDS = 5
@@ -45,7 +46,11 @@ NEAREST = 2
 DENSE = 48
 SKETCH_MOST = 4096
 BUCKET_CHARS = 80_000_000
-CACHED_WORDS = 400_000
+#: Shingles that a task deals at a time.
+HELD = 2_000_000
+#: Bytes of text that are split at a time.
+SLICE = 2 << 20
+CACHED_WORDS = 300_000
 U = np.uint64
 
 
@@ -72,17 +77,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingle_set(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, U)
-    h = np.fromiter(map(known.__getitem__, words), U, len(words))
-    n = min(WORDS, len(h))
-    acc = np.full(len(h) - n + 1, U(n))
-    for j in range(n):
-        acc = _mix(acc * U(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
-    return np.unique(acc)
+def shingle_sets(texts: list[bytes | None], known: dict[bytes, int]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    words, numbers, places = coded_words([t.lower() if t else b"" for t in texts])
+    h = np.fromiter(map(known.__getitem__, words), U, len(words))[numbers]
+    whole = np.full(max(0, len(h) - WORDS + 1), U(WORDS))
+    for j in range(WORDS):
+        whole = _mix(whole * U(0x9E3779B97F4A7C15) + h[j : len(h) - WORDS + 1 + j]) if len(whole) else whole
+    out = []
+    for a, b in itertools.pairwise(places.tolist()):
+        if b - a >= WORDS:
+            out.append(np.unique(whole[a : b - WORDS + 1]))
+        else:
+            acc = np.full(min(1, b - a), U(b - a))
+            for j in range(a, b):
+                acc = _mix(acc * U(0x9E3779B97F4A7C15) + h[j : j + 1])
+            out.append(acc)
+    return out
+
+
+def _sets(batch: pa.RecordBatch):
+    """(ids, sets) of a batch, some texts at a time."""
+    ids, texts = batch.column(0).to_pylist(), batch.column(1)
+    at = 0
+    while at < len(texts):
+        part, first, size = [], at, 0
+        while at < len(texts) and size < SLICE:
+            part.append(texts[at].as_py())
+            size += len(part[-1] or b"")
+            at += 1
+        yield ids[first:at], shingle_sets(part, _hashes())
 
 
 def bands(size: int) -> list[tuple[int, int, int]]:
@@ -103,7 +127,7 @@ def signatures(items: np.ndarray, band: int, largest: int, k: int) -> np.ndarray
         part = ((items >> U(32)) * U(max(1, int(PART_SHARE * largest)))) >> U(32)
         starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         items = np.add.reduceat(_mix(items), starts)
-    keys = _mix(items + U(band + 1) * U(0xD1342543DE82EF95))
+    keys = _mix(items + U((band + 1) * 0xD1342543DE82EF95 % 2**64))
     return keys if len(keys) <= k + 1 else np.partition(keys, k)[: k + 1]
 
 
@@ -129,37 +153,19 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_hash) of every row; set_hash is null for empty sets."""
 
     def rows(batches):
-        known = _hashes()
-        for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1):
-                items = shingle_set(text.as_py(), known)
-                sizes.append(len(items))
-                keys.append(_set_hash(items) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "set_hash"])
+        for ids, sets in itertools.chain.from_iterable(map(_sets, batches)):
+            sizes = [len(x) for x in sets]
+            keys = [_set_hash(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "set_hash"])
 
     return _text(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, set_hash bigint")
 
 
-class _Block:
-    """Entries (a set in a band) and their signatures, packed for one bucket."""
-
-    def __init__(self) -> None:
-        self.ids, self.hashes, self.sizes, self.widths, self.sketches, self.keys, self.owners = [], [], [], [], [], [], []
-
-    def add(self, doc_id: int, set_hash: int, size: int, sketch_: bytes, keys: np.ndarray) -> None:
-        self.owners.append(np.full(len(keys), len(self.ids), np.uint32))
-        self.keys.append(keys)
-        self.ids.append(doc_id)
-        self.hashes.append(set_hash)
-        self.sizes.append(size)
-        self.widths.append(len(sketch_))
-        self.sketches.append(sketch_)
-
-    def pack(self) -> bytes:
-        n, keys = len(self.ids), np.concatenate(self.keys)
-        parts = [np.array([n, len(keys)], np.int64), np.array(self.ids, np.int64), np.array(self.hashes, np.int64), np.array(self.sizes, np.int32), np.array(self.widths, np.int32), keys, np.concatenate(self.owners)]
-        return b"".join([*(x.tobytes() for x in parts), *self.sketches])
+def _packed(ids, hashes, sizes, sketches: list[bytes], keys: np.ndarray, owners: np.ndarray) -> bytes:
+    """Entries (a set in a band) and their signatures, for one bucket."""
+    widths = np.fromiter(map(len, sketches), np.int32, len(sketches))
+    parts = (np.array([len(ids), len(keys)], np.int64), ids.astype(np.int64), hashes.astype(np.int64), sizes.astype(np.int32), widths, keys.astype(U), owners.astype(np.uint32))
+    return b"".join([*(x.tobytes() for x in parts), *sketches])
 
 
 def _unpack(data: bytes) -> tuple:
@@ -171,48 +177,52 @@ def _unpack(data: bytes) -> tuple:
     return (*out, np.frombuffer(data, np.uint8, -1, at))
 
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block): every set's signatures; copies within a batch go once."""
+def part_enum(sets: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
+    """(set number, largest size to compare with, signatures) of each set in each of its bands."""
+    return [(i, largest, signatures(x, band, largest, k)) for i, x in enumerate(sets) for band, largest, k in bands(len(x))]
+
+
+def _dealt(lead: dict[int, int], sets: dict[int, np.ndarray], buckets: int, sign) -> pa.RecordBatch:
+    order = list(sets)
+    entries = sign([sets[k] for k in order])
+    which = np.fromiter((e[0] for e in entries), np.int64, len(entries))
+    names = np.array(order, np.int64)
+    ids = np.fromiter((lead[k] for k in order), np.int64, len(order))
+    sizes = np.fromiter((len(sets[k]) for k in order), np.int64, len(order))
+    sketches = [sketch(sets[order[i]], largest) for i, largest, _ in entries]
+    keys = np.concatenate([e[2] for e in entries]) if entries else np.empty(0, U)
+    owners = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
+    where = (keys % U(buckets)).astype(np.int64)
+    by = np.argsort(where, kind="stable")
+    keys, owners, where = keys[by], owners[by], where[by]
+    cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(keys) else [0]
+    out = []
+    for lo, hi in itertools.pairwise(cuts):
+        own, local = np.unique(owners[lo:hi], return_inverse=True)
+        sel = which[own]
+        out.append((int(where[lo]), _packed(ids[sel], names[sel], sizes[sel], [sketches[i] for i in own.tolist()], keys[lo:hi], local)))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
+
+
+def blocks(docs: DataFrame, buckets: int, sign=part_enum) -> DataFrame:
+    """(bucket, block): every set's signatures; copies within a task's slice go once."""
 
     def rows(batches):
-        known = _hashes()
-        for batch in batches:
-            out: dict[int, _Block] = {}
-            seen: dict[int, int] = {}
-            entries: dict[int, np.ndarray] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc_id is None:
-                    continue
-                items = shingle_set(text.as_py(), known)
-                if not len(items):
-                    continue
-                key = _set_hash(items)
-                if key in seen:
-                    seen[key] = min(seen[key], doc_id)
-                else:
-                    seen[key] = doc_id
-                    entries[key] = items
-                    if sum(map(len, entries.values())) > 4_000_000 if len(entries) % 64 == 0 else False:
-                        _deal(entries, seen, out, buckets)
-                        yield _packed(out)
-                        out, seen, entries = {}, {}, {}
-            _deal(entries, seen, out, buckets)
-            yield _packed(out)
-
-    def _deal(entries, seen, out, buckets):
-        for key, items in entries.items():
-            for band, largest, k in bands(len(items)):
-                keys = signatures(items, band, largest, k)
-                mark = sketch(items, largest)
-                where = (keys % U(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                keys, where = keys[order], where[order]
-                cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(keys)]))
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.setdefault(int(where[lo]), _Block()).add(seen[key], key, len(items), mark, keys[lo:hi])
-
-    def _packed(out):
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([b.pack() for b in out.values()], pa.binary())], ["bucket", "block"])
+        lead: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+        for doc_id, items in ((d, x) for b in batches for ids, own in _sets(b) for d, x in zip(ids, own, strict=True)):
+            if doc_id is None or not len(items):
+                continue
+            key = _set_hash(items)
+            lead[key] = min(lead.get(key, doc_id), doc_id)
+            if key not in sets:
+                sets[key] = items
+                held += len(items)
+            if held > HELD:
+                yield _dealt(lead, sets, buckets, sign)
+                lead, sets, held = {}, {}, 0
+        yield _dealt(lead, sets, buckets, sign)
 
     return _text(docs).mapInArrow(rows, "bucket int, block binary")
 
@@ -342,7 +352,7 @@ def first_sweep(dealt: DataFrame) -> DataFrame:
     """Of each bucket: candidate pairs (kind 0), and, for the later sweeps, the groups whose pairs
     are not all among them (kind 1) with their nodes (kind 2)."""
 
-    def sweep(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def sweep(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bucket, out = key[0], []
         for ids, hashes, sizes, marks, groups in _groups(list(frame["block"])):
             x, y, d = _pairs(groups, sizes, marks, None)
@@ -359,15 +369,10 @@ def first_sweep(dealt: DataFrame) -> DataFrame:
             left = {g.tobytes(): g for g in groups if len(g) > DENSE or open_[g].sum() > 1}
             if left:
                 nodes = np.unique(np.concatenate(list(left.values())))
-                block = _Block()
-                number = {n: i for i, n in enumerate(nodes.tolist())}
-                keys: dict[int, list[int]] = {}
-                for i, g in enumerate(left.values()):
-                    for n in g.tolist():
-                        keys.setdefault(n, []).append(i)
-                for n in number:
-                    block.add(int(ids[n]), int(hashes[n]), int(sizes[n]), marks[n].tobytes(), np.array(keys[n], U))
-                out += [_rows(bucket, 1, [0], None, [block.pack()]), _rows(bucket, 2, ids[nodes])]
+                members = np.concatenate(list(left.values()))
+                keys = np.repeat(np.arange(len(left)), [len(g) for g in left.values()])
+                block = _packed(ids[nodes], hashes[nodes], sizes[nodes], [m.tobytes() for m in marks[nodes]], keys, np.searchsorted(nodes, members))
+                out += [_rows(bucket, 1, [0], None, [block]), _rows(bucket, 2, ids[nodes])]
         return pd.concat(out) if out else _rows(bucket, 0, np.empty(0, np.int64))
 
     return dealt.groupBy("bucket").applyInPandas(sweep, FOUND)
@@ -376,7 +381,7 @@ def first_sweep(dealt: DataFrame) -> DataFrame:
 def next_sweep(left: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components that the groups left over still hold."""
 
-    def sweep(key, blocks_: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    def sweep(key: tuple, blocks_: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(names["node"], names["component"], strict=True))
         out = []
         for payload in blocks_["block"]:
@@ -394,10 +399,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets have Jaccard 0.8 or more, by their whole sets."""
 
     def sets(batches):
-        known = _hashes()
-        for batch in batches:
-            values = [shingle_set(t.as_py(), known).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["node", "items"])
+        for ids, own in itertools.chain.from_iterable(map(_sets, batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"])
 
     def similar(batches):
         for batch in batches:
@@ -419,12 +422,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(similar, "a bigint, b bigint").distinct()
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, sign=part_enum, chars: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_hash) for every row."""
     docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if chars is None:
+        chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = staged(classes(docs), "classes")
-    found = staged(first_sweep(blocks(docs, max(8, chars // BUCKET_CHARS))), "sweep")
+    found = staged(first_sweep(blocks(docs, max(8, chars // BUCKET_CHARS), sign)), "sweep")
     # a doc_id whose rows differ joins their sets: its rows are links too
     own = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     lead = own.groupBy("set_hash").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).filter("c > 1")
