@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import let
+from quire.llm.common import let, staged
 
 CHARS = 50
 REACH = 8
@@ -101,6 +101,8 @@ def later_runs(prints: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("fp", "o")
     )
+    # stored, so that the join deals out both sides anew and a frequent fingerprint's can be split
+    origin = staged(origin, "origins")
     later = (F.col("_id") != F.col("o._id")) | (F.col("_th") != F.col("o._th")) | (F.col("pos") != F.col("o.pos"))
 
     def agree(a: str, b: str) -> Column:

@@ -391,8 +391,8 @@ def next_sweep(left: DataFrame, labels: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"a": ids[x], "b": ids[y]}))
         return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
-    mine = left.filter("kind = 2").select("bucket", F.col("a").alias("node")).join(labels, "node")
-    return left.filter("kind = 1").select("bucket", "block").groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInPandas(sweep, "a bigint, b bigint")
+    mine = left.filter("kind = 2").select(F.col("bucket").alias("of"), F.col("a").alias("node")).join(labels, "node").select("of", "node", "component")
+    return left.filter("kind = 1").select("bucket", "block").groupBy("bucket").cogroup(mine.groupBy("of")).applyInPandas(sweep, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ row is packed once for each time it occurs; only documents longer than the limit
 
 from __future__ import annotations
 
+import itertools
 import sys
 import types
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import staged
+from quire.llm.common import coded_words, staged
 
 LIMIT = 4096
 END = 1
@@ -81,23 +82,22 @@ class WordEncoder:
         return ids
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        get, out, late, unknown = self.known.get, [b""] * len(texts), [], set()
-        for i, text in enumerate(texts):
-            if b"<|" in text:
-                out[i] = self._encode([text.decode("utf-8", "replace")])[0]
-                continue
-            words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
-            ids = list(map(get, words))
-            if None in ids:
-                unknown.update(w for w, x in zip(words, ids, strict=True) if x is None)
-                late.append((i, words, ids))
-            else:
-                out[i] = b"".join(ids)
-        if late:
-            new = self._learn(unknown)
-            for i, words, ids in late:
-                out[i] = b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)])
-        return out
+        import numpy as np
+
+        whole = {i: self._encode([t.decode("utf-8", "replace")])[0] for i, t in enumerate(texts) if b"<|" in t}
+        plain = [b"" if i in whole else t if b"\xcc" in t or b"\xcd" in t else t.lower() for i, t in enumerate(texts)]
+        words, numbers, places = coded_words(plain)
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
+            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
+        own = lens[numbers]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        data = flat[np.repeat(starts[numbers] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        cuts = 4 * ends[places]
+        return [whole.get(i) or data[a:b] for i, (a, b) in enumerate(itertools.pairwise(cuts.tolist()))]
 
 
 def _encoder(path: str) -> WordEncoder:

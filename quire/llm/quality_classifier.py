@@ -125,15 +125,22 @@ def _fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _few(rows: DataFrame, count: int, sample: int, seed: int) -> DataFrame:
+    """The `sample` rows of the least hash.  A bound on the hash first leaves about twice as many, so
+    the tasks send on no more than that between them."""
+    order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    share = 2 * (sample + 50) / max(count, 1)
+    return rows.filter(order < int(min(share, 1.0) * (1 << 40))).orderBy(order, "doc_id").limit(sample)
+
+
 def train(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
     """Fits on at most `sample` positives and `sample` unlabelled rows; a number if it can't."""
     known = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & (_fold() != HELD_OUT))
     good, all_ = known.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
     prior = good / all_ if all_ else 0.5
-    order = F.xxhash64("doc_id", F.lit(7))
-    some = known.filter("quality = 1").orderBy(order, "doc_id").limit(sample).select("doc_id").distinct()
+    some = _few(known.filter("quality = 1").select("doc_id"), good, sample, 7).distinct()
     positive = vectors.join(some, "doc_id", "left_semi").limit(2 * sample)
-    unlabelled = vectors.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
+    unlabelled = _few(vectors, vectors.count(), sample, 11)
     p, u = ([r["x"] for r in d.select("x").collect()] for d in (positive, unlabelled))
     if not p or not u:
         return prior
