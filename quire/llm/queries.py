@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from quire.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from quire.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": lambda s, d: license_scan.query(table(s, d, "documents")),
         "op2_quality_rules": lambda s, d: quality_rules.query(table(s, d, "documents")),
         "op3_secret_scan": lambda s, d: secret_scan.query(table(s, d, "documents")),
         "op4_substring_dedup": lambda s, d: substring_dedup.query(table(s, d, "documents")),
