@@ -1,8 +1,53 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to packed sequences, each stage stored and read again.
 
-STAGES = []
+Every stage works on all that the one before it kept.  All but the last return the columns of
+`documents`; the last returns one row per piece with its place in a sequence.  Quality rules
+work inside a row, line dedup deletes later repeated runs of lines, the n-gram join keeps one document
+of each group, decontamination drops documents that hold a benchmark item, packing cuts and places
+the token pieces.  An empty table passes through every stage as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
+from quire.llm.common import staged, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_policy(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.apply(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.apply(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.query(docs)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", sequences),
+]
+#: Latent retrieval and tokens have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
