@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ OWN = 25.0
 #: idf, as a share of the highest, at which words outside the benchmark count in a window's norm.
 OUTSIDE = 0.6
 CHUNK = 64
+#: Bytes of text, and words or windows with their latent vectors, handled at a time.
+SLICE, BLOCK = 2 << 20, 16_384
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -88,10 +91,14 @@ def _cells(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, lens) + (np.arange(len(start)) - start) // size, first
 
 
-def _slices(batches, rows: int = 2000):
+def _slices(batches, column: int = 0):
+    """The batches in slices of about SLICE bytes of text; a longer text is a slice of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // SLICE
+        starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+        for lo, hi in itertools.pairwise(starts):
+            yield batch.slice(lo, hi - lo)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -162,8 +169,9 @@ def latent(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int], wei
             ids, lens = _batch_ids(batch.column(0), vocabulary)
             cells, _ = _cells(lens, PASSAGE)
             cell, term, w = _tfidf(ids, cells, weights)
-            for lo in range(0, len(cell), 200_000):  # a cut cell counts as two; bounded memory matters more
-                _gram(cell[lo : lo + 200_000], term[lo : lo + 200_000], w[lo : lo + 200_000], omega, out)
+            begins = np.flatnonzero(np.diff(cell, prepend=-1))
+            for own in np.split(np.arange(len(cell)), begins[:: max(1, BLOCK // PASSAGE)]):
+                _gram(cell[own], term[own], w[own], omega, out)
         out = out[live]
         chunks = [i for i in range(0, len(live), CHUNK) if out[i : i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([out[i : i + CHUNK].tobytes() for i in chunks], pa.binary())], ["chunk", "y"])
@@ -264,13 +272,13 @@ class Index:
         number[need] = np.arange(len(need))
         word_at = hit[number[cells[hit]] >= 0]
         latent_ = np.zeros((len(need) + 1, self.terms.shape[1]), np.float32)
-        for lo in range(0, len(word_at), 100_000):
-            part = word_at[lo : lo + 100_000]
+        for lo in range(0, len(word_at), BLOCK):
+            part = word_at[lo : lo + BLOCK]
             where = number[cells[part]]
             starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
             latent_[where[starts]] += np.add.reduceat(self.terms[ids[part]], starts)
-        for lo in range(0, len(live), 20_000):
-            at = live[lo : lo + 20_000]
+        for lo in range(0, len(live), BLOCK):
+            at = live[lo : lo + BLOCK]
             sums = np.zeros((len(at), latent_.shape[1]), np.float32)
             for o in range(span):
                 ok = (at + o < n_cells) & (row[np.minimum(at + o, n_cells - 1)] == row[at])
@@ -331,7 +339,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def rows(batches):
         own = _received(sent)
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             row, item, share = own.search(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
 
@@ -346,7 +354,7 @@ def apply(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def rows(batches):
         own = _received(sent)
-        for batch in _slices(batches):
+        for batch in _slices(batches, at):
             keep = np.ones(batch.num_rows, bool)
             keep[own.search(batch.column(at).cast(pa.binary()))[0]] = False
             yield batch.filter(pa.array(keep))
