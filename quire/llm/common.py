@@ -42,6 +42,36 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def worker_cache(key, make):
+    """What a Python worker keeps between tasks under key.  It keeps one thing at a time: what another
+    stage left is dropped and its memory handed back, so that stages don't add up."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+    if ("kept", key) not in kept:
+        for old in [k for k in kept if isinstance(k, tuple)]:
+            del kept[old]
+        handed_back()
+        kept["kept", key] = make()
+    return kept["kept", key]
+
+
+def handed_back() -> None:
+    """Returns freed memory of this process to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can
+        pass
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null for null."""
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")

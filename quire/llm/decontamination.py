@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import coded_words
+from quire.llm.common import coded_words, worker_cache
 
 PASSAGE = 64
 STEP = 32
@@ -93,6 +93,7 @@ def _cells(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(batches, column: int = 0):
     """The batches in slices of about SLICE bytes of text; a longer text is a slice of its own."""
+    worker_cache("decontamination", dict)  # drops what other stages left
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // SLICE

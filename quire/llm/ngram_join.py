@@ -25,8 +25,6 @@ null component and links nothing.
 from __future__ import annotations
 
 import itertools
-import sys
-import types
 
 import numpy as np
 import pandas as pd
@@ -34,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import coded_words, staged
+from quire.llm.common import coded_words, handed_back, staged, worker_cache
 from quire.llm.components import components
 
 WORDS = 5
@@ -67,8 +65,7 @@ class _Hashes(dict):
 
 
 def _hashes() -> _Hashes:
-    kept = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
-    return kept.setdefault("hashes", _Hashes())
+    return worker_cache("hashes", _Hashes)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -373,7 +370,10 @@ def first_sweep(dealt: DataFrame) -> DataFrame:
                 keys = np.repeat(np.arange(len(left)), [len(g) for g in left.values()])
                 block = _packed(ids[nodes], hashes[nodes], sizes[nodes], [m.tobytes() for m in marks[nodes]], keys, np.searchsorted(nodes, members))
                 out += [_rows(bucket, 1, [0], None, [block]), _rows(bucket, 2, ids[nodes])]
-        return pd.concat(out) if out else _rows(bucket, 0, np.empty(0, np.int64))
+        done = pd.concat(out) if out else _rows(bucket, 0, np.empty(0, np.int64))
+        del out
+        handed_back()
+        return done
 
     return dealt.groupBy("bucket").applyInPandas(sweep, FOUND)
 

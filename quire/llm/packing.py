@@ -17,8 +17,6 @@ row is packed once for each time it occurs; only documents longer than the limit
 from __future__ import annotations
 
 import itertools
-import sys
-import types
 import zlib
 
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import coded_words, staged
+from quire.llm.common import coded_words, handed_back, staged, worker_cache
 
 LIMIT = 4096
 END = 1
@@ -102,10 +100,7 @@ class WordEncoder:
 
 def _encoder(path: str) -> WordEncoder:
     """The Python worker's encoder, kept between tasks."""
-    kept = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
-    if ("encoder", path) not in kept:
-        kept["encoder", path] = WordEncoder(path)
-    return kept["encoder", path]
+    return worker_cache(("encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -132,6 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
                             out[name].append(value)
                 types_ = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types_, strict=True)], list(out))
+        handed_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
