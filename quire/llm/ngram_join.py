@@ -43,12 +43,12 @@ PART_SHARE = 0.4
 NEAREST = 2
 DENSE = 48
 SKETCH_MOST = 4096
-BUCKET_CHARS = 80_000_000
+BUCKET_CHARS = 20_000_000
 #: Shingles that a task deals at a time.
-HELD = 2_000_000
+HELD = 500_000
 #: Bytes of text that are split at a time.
-SLICE = 2 << 20
-CACHED_WORDS = 300_000
+SLICE = 1 << 20
+CACHED_WORDS = 150_000
 U = np.uint64
 
 
@@ -220,6 +220,7 @@ def blocks(docs: DataFrame, buckets: int, sign=part_enum) -> DataFrame:
                 yield _dealt(lead, sets, buckets, sign)
                 lead, sets, held = {}, {}, 0
         yield _dealt(lead, sets, buckets, sign)
+        handed_back()
 
     return _text(docs).mapInArrow(rows, "bucket int, block binary")
 
