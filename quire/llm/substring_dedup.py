@@ -1,4 +1,4 @@
-r"""Substring dedup: paragraphs by MinHash banding.
+r"""Substring dedup: paragraphs by MinHash banding, and word runs that don't keep to lines.
 
 A paragraph is a line of MIN_WORDS words or more (words without ASCII capitals).  Equal word
 sequences are one paragraph from the start.  MinHash values of the 5-word shingles are banded; the
@@ -7,14 +7,22 @@ RECALL.  Colliding paragraphs are compared, verified by exact Jaccard of their w
 joined into components; of each component the first occurrence, by doc_id and line, stays and the
 others go.  Sweeps, verification and components are those of the n-gram join.
 
+Then every run of SPAN words or more, across line ends, that stands verbatim at an earlier place, by
+doc_id and word, is cut as a span.  A window is SPAN words of which some are left by the paragraphs;
+the least hash of its GRAM-word grams is its fingerprint, so equal windows have equal ones.  Only the
+windows of fingerprints that stand at several places are dealt out, by the hash of their words; each
+but the first of its hash is cut, so no run is missed whatever surrounds it.
+
 Defined cases: null, empty and short lines are never paragraphs; a document with a null doc_id keeps
 its lines, and they count for nobody; a row that occurs twice has each of its paragraphs twice, and
 only one of the equal occurrences is the first; a paragraph that repeats within one document counts
-like any other.
+like any other.  Rows of one doc_id and text are one document for spans, cut in each of them.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,13 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.llm.common import staged
-from quire.llm.ngram_join import _mix, linked
+from quire.llm.ngram_join import _hashes, _mix, linked
 
 MIN_WORDS = 10
 SIMILAR = 0.8
 VALUES = 64
 RECALL = 0.999
+SPAN, GRAM = 50, 25
 U = np.uint64
+C = U(0x9E3779B97F4A7C15)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def tuned(values: int = VALUES, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
@@ -88,7 +99,101 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def _widened(x: np.ndarray, width: int, joined) -> np.ndarray:
+    """joined over every `width` places in a row, by doubling."""
+    n = 1
+    while n < width:
+        step = min(n, width - n)
+        x = joined(x[: max(0, len(x) - step)], x[step:])
+        n += step
+    return x
+
+
+def _hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(a * C + b)
+
+
+def _windows(data: bytes, gone: list[int] | None):
+    """(grams, windows' hashes, their fingerprints, whether some words of theirs are left, lines of
+    the words); None for fewer than SPAN words."""
+    lower = data.lower()
+    own = lower.split()
+    if len(own) < SPAN:
+        return None
+    h = np.fromiter(map(_hashes().__getitem__, own), U, len(own))
+    counts = [len(line.split()) for line in lower.split(b"\n")]
+    line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    grams = _widened(h, GRAM, _hashed)
+    whole = _hashed(grams[: len(grams) - (SPAN - GRAM)], grams[SPAN - GRAM :])
+    least = _widened(grams, SPAN - GRAM + 1, np.minimum)
+    left = np.cumsum(np.concatenate(([0], ~np.isin(line, gone or []))))
+    return grams, whole, least, left[SPAN:] > left[:-SPAN], line
+
+
+def _prints(batches):
+    """(fp, _id, _th, n): a document's fingerprints, and at how many places of it each stands."""
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for own_id, th, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            if (found := _windows(text.as_py(), gone)) is None:
+                continue
+            grams, _, least, some, _ = found
+            ends = np.zeros(SPAN - GRAM, U)
+            most = _widened(np.concatenate((ends, np.where(some, least, U(0)), ends)), SPAN - GRAM + 1, np.maximum)
+            fp, n = np.unique(grams[grams == most], return_counts=True)
+            for column, value in zip(out, (fp.view(np.int64), np.full(len(fp), own_id), np.full(len(fp), th), n), strict=True):
+                column.append(value)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["fp", "_id", "_th", "n"])
+
+
+def _places(batches):
+    """(window, _id, _th, at, line) of the windows with one of the document's fingerprints `fps`."""
+    for batch in batches:
+        for own_id, th, text, gone, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            _, whole, least, some, line = _windows(text.as_py(), gone)
+            at = np.flatnonzero(some & np.isin(least.view(np.int64), fps.values.to_numpy()))
+            columns = (whole[at].view(np.int64), np.full(len(at), own_id), np.full(len(at), th), at, line[at].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["window", "_id", "_th", "at", "line"])
+
+
+def _key(docs: DataFrame) -> list:
+    return [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th")]
+
+
+def _gone(lines: DataFrame) -> DataFrame:
+    return lines.filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+
+
+def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(_id, _th, line, from_word, to_word, first, component_id) of the runs to cut: words from_word up to
+    to_word of the document; `lines` are its removed paragraphs."""
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(*_key(docs), F.col("text").cast("binary").alias("text"))
+    texts = staged(texts.join(_gone(lines), "_id", "left").select("_id", "_th", "text", "_gone"), "texts")
+    prints = staged(texts.mapInArrow(_prints, "fp bigint, _id bigint, _th bigint, n bigint"), "prints")
+    repeated = staged(prints.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "repeated")
+    wanted = prints.join(repeated, "fp", "left_semi").groupBy("_id", "_th").agg(F.collect_set("fp").alias("fps"))
+    found = texts.join(wanted, ["_id", "_th"]).select("_id", "_th", "text", "_gone", "fps")
+    places = staged(found.mapInArrow(_places, "window bigint, _id bigint, _th bigint, at bigint, line bigint"), "windows")
+    first = places.groupBy("window").agg(F.min(F.struct("_id", "_th", "at", "line")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("window", "o")
+    later = (
+        places.join(staged(first, "first"), "window")
+        .filter("_id <> o._id OR _th <> o._th OR at <> o.at")
+        .groupBy("_id", "_th", "at")
+        .agg(F.first(F.struct("line", "o", F.shiftrightunsigned("window", 1).alias("component_id"))).alias("v"))
+    )
+    order = W.partitionBy("_id", "_th").orderBy("at")
+    begins = F.coalesce(F.col("at") > F.lag("at").over(order) + SPAN, F.lit(True))
+    return (
+        later.withColumn("_new", begins.cast("int"))
+        .withColumn("_run", F.sum("_new").over(order))
+        .groupBy("_id", "_th", "_run")
+        .agg(F.min("at").alias("from_word"), (F.max("at") + SPAN).alias("to_word"), F.min_by("v", "at").alias("v"))
+        .select("_id", "_th", F.col("v.line").cast("int").alias("line"), "from_word", "to_word", F.col("v.o").alias("first"), "v.component_id")
+    )
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n_words, component_id, first_doc_id, first_line, removed) of every paragraph
     that occurs more than once, exactly or nearly."""
     found = paragraphs(docs)
@@ -116,14 +221,50 @@ def duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, n_words, component_id, first_doc_id, first_line, removed, from_word, to_word, cut):
+    the repeated paragraphs, of which the `removed` go as whole lines, and the spans, which are `cut`:
+    the words from_word up to to_word go, the first of them on `line`."""
+    lines = staged(repeated_lines(docs), "lines")
+    runs = spans(docs, lines).select(
+        F.col("_id").alias("doc_id"), "line", (F.col("to_word") - F.col("from_word")).cast("int").alias("n_words"), "component_id",
+        F.col("first._id").alias("first_doc_id"), F.col("first.line").cast("int").alias("first_line"), F.lit(False).alias("removed"), "from_word", "to_word", F.lit(True).alias("cut"),
+    )
+    none = F.lit(None).cast("long")
+    return lines.select("*", none.alias("from_word"), none.alias("to_word"), F.lit(False).alias("cut")).unionByName(runs)
+
+
+def _without(text: str | None, gone: list[int] | None, runs) -> str | None:
+    """text without the lines `gone` and the words of the runs; a line whose words all go goes too."""
+    if text is None:
+        return None
+    gone, flags = set(gone or ()), bytearray(max(r["to_word"] for r in runs))
+    for r in runs:
+        flags[r["from_word"] : r["to_word"]] = b"\1" * (r["to_word"] - r["from_word"])
+    out, word = [], 0
+    for n, line in enumerate(text.encode().split(b"\n")):
+        starts = [m.start() for m in WORD.finditer(line)]
+        own = flags[word : word + len(starts)].ljust(len(starts), b"\0")
+        word += len(starts)
+        if n in gone or starts and all(own):
+            continue
+        if any(own):
+            ends = [*starts[1:], len(line)]
+            line = line[: starts[0]] + b"".join(line[a:b] for a, b, cut in zip(starts, ends, own, strict=True) if not cut)
+        out.append(line)
+    return b"\n".join(out).decode()
+
+
 def apply(docs: DataFrame) -> DataFrame:
-    """docs with the removed paragraphs cut from `text`; rows that share a doc_id lose the same lines."""
-    gone = duplicates(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    """docs with the removed paragraphs and the spans cut from `text`; rows that share a doc_id lose the same lines."""
+    lines = staged(repeated_lines(docs), "lines")
+    runs = spans(docs, lines).groupBy("_id", "_th").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_runs"))
     names = docs.columns
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(gone, F.col("_row.doc_id") == F.col("_id"), "left")
-    lines = F.split(F.col("_row.text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept)
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key(docs)).join(_gone(lines), "_id", "left").join(runs, ["_id", "_th"], "left")
+    split = F.split(F.col("_row.text"), "\n", -1)
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    cut = F.udf(_without, "string")(F.when(F.col("_runs").isNotNull(), F.col("_row.text")), "_gone", "_runs")
+    text = F.when(F.col("_runs").isNotNull(), cut).when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept)
     return joined.select(*[(text if c == "text" else F.col("_row")[c]).alias(c) for c in names])
 
 
