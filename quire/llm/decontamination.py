@@ -11,9 +11,10 @@
    it and as much of its answer, which is the item's last sentence.
 
 What reaches the driver or every executor is bounded by the benchmark: its vocabulary times the
-rank.  Terms that more than COMMON of all passages hold weigh nothing, but for each item's four
+rank.  More than RANK benchmark passages are split into groups of at most RANK, each with a latent
+space of its own, made by steps 2 and 3 on its own.  Terms that more than COMMON of all passages hold weigh nothing, but for each item's four
 rarest.  Words are compared with ASCII capitals folded and ASCII punctuation removed.  With no
-more benchmark passages than RANK the latent space holds each one's vector.
+more passages than RANK a group's latent space holds each one's vector.
 
 Defined cases: null or blank texts and items match nothing; an item of over PASSAGE words is cut
 into parts, each of which counts; items and documents that occur twice give the same pairs once for
@@ -299,13 +300,23 @@ class Index:
         return [k[0] for k, _ in found], [k[1] for k, _ in found], [v for _, v in found]
 
 
-def build(docs: DataFrame, benchmark: DataFrame) -> Index | None:
-    """Three jobs' worth of statistics over all documents; None for an empty benchmark."""
+def build(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
+    """An index of each group of at most RANK benchmark passages, by statistics over all documents; a job
+    for the frequencies and one for each group.  Empty for an empty benchmark."""
     items = items_of(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").orderBy("item_id").collect())
     if not items:
-        return None
+        return []
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     df, total = frequencies(docs, vocabulary)
+    n = -(-len(items) // RANK)
+    cuts = [len(items) * g // n for g in range(n + 1)]
+    return [_index(docs, items[lo:hi], vocabulary, df, total) for lo, hi in itertools.pairwise(cuts)]
+
+
+def _index(docs: DataFrame, items: list[Item], numbers: dict[bytes, int], df: np.ndarray, total: int) -> Index:
+    """The index of one group; numbers: places of all words in df."""
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x.words}))}
+    df = df[[0, *(numbers[w] for w in vocabulary)]]
     idf = np.log((1 + total) / (1 + df))
     idf[0] = 0
     weights = np.where(df <= max(2, COMMON * total), idf, 0)
@@ -320,28 +331,37 @@ def build(docs: DataFrame, benchmark: DataFrame) -> Index | None:
     return Index(vocabulary, weights, terms, items, projected, OUTSIDE * float(weights.max()))
 
 
-def _send(docs: DataFrame, index: Index):
-    """A broadcast of the index as plain values: workers need no copy of this package to read it."""
-    items = [(x.item_id, x.words, x.answer) for x in index.items]
-    return docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.weights, index.terms, items, index.vectors, index.outside))
+def _send(docs: DataFrame, indexes: list[Index]):
+    """A broadcast of the indexes as plain values: workers need no copy of this package to read it."""
+    plain = [(x.vocabulary, x.weights, x.terms, [(i.item_id, i.words, i.answer) for i in x.items], x.vectors, x.outside) for x in indexes]
+    return docs.sparkSession.sparkContext.broadcast(plain)
+
+
+def _received(sent) -> list[Index]:
+    return [Index(vocabulary, weights, terms, [Item(*x) for x in items], vectors, outside) for vocabulary, weights, terms, items, vectors, outside in sent.value]
 
 
-def _received(sent) -> Index:
-    vocabulary, weights, terms, items, vectors, outside = sent.value
-    return Index(vocabulary, weights, terms, [Item(*x) for x in items], vectors, outside)
+def _searched(indexes: list[Index], column) -> tuple[list[int], list[int], list[float]]:
+    """(row, item id, share of the item) of the leaks by all groups; an item's parts may be in two."""
+    out: dict[tuple[int, int], float] = {}
+    for index in indexes:
+        for row, item, share in zip(*index.search(column), strict=True):
+            out[row, item] = max(share, out.get((row, item), 0))
+    found = sorted(out.items())
+    return [k[0] for k, _ in found], [k[1] for k, _ in found], [v for _, v in found]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): documents that hold a benchmark item, or most of one."""
     kind = "doc_id bigint, item_id bigint, share double"
-    if (index := build(docs, benchmark)) is None:
+    if not (indexes := build(docs, benchmark)):
         return docs.sparkSession.createDataFrame([], kind)
-    sent = _send(docs, index)
+    sent = _send(docs, indexes)
 
     def rows(batches):
         own = _received(sent)
         for batch in _slices(batches, 1):
-            row, item, share = own.search(batch.column(1))
+            row, item, share = _searched(own, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, kind)
@@ -349,15 +369,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak; narrow, as the rows pass through the search."""
-    if (index := build(docs, benchmark)) is None:
+    if not (indexes := build(docs, benchmark)):
         return docs
-    sent, at = _send(docs, index), docs.columns.index("text")
+    sent, at = _send(docs, indexes), docs.columns.index("text")
 
     def rows(batches):
         own = _received(sent)
         for batch in _slices(batches, at):
             keep = np.ones(batch.num_rows, bool)
-            keep[own.search(batch.column(at).cast(pa.binary()))[0]] = False
+            keep[_searched(own, batch.column(at).cast(pa.binary()))[0]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -2,7 +2,7 @@
 
 import random
 
-from quire.llm import substring_dedup
+from quire.llm import decontamination, substring_dedup
 
 
 def prose(seed, n):
@@ -47,3 +47,12 @@ def test_substring_dedup_leaves_no_run_twice(spark):
             seen.add(key)
     print("words in spans", len(want))
     assert got == want
+
+
+def test_decontamination_of_many_items(spark):
+    """Far more items than the latent rank: every verbatim copy is found, and nothing else."""
+    items = [(i, " ".join(prose(10_000 + i, 5))) for i in range(2000)]
+    docs = [(d, " ".join(x for i in range(d, 2000, 500) for x in (*(f"f{w[1:]}" for w in prose(50_000 + i, 100)), items[i][1]))) for d in range(500)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.query(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(i % 500, i) for i in range(2000)}
