@@ -1,16 +1,16 @@
 r"""Line dedup by winnowing over line hashes.
 
-A text's lines (split at \n) are hashed.  The gram at a line is the hash of the fewest lines from
-there on that hold `chars` characters, `reach` lines at most; where they don't, there is no gram.
-A window covers the starts within one gram; its least gram hash is a fingerprint.  Any repeated
-run that covers a window with its grams (2 * chars characters are enough, within reach) has a
-fingerprint in both places.  Fingerprints meet at their first position, by doc_id, text hash and
-line; from there a match is extended both ways while lines agree, and the later run is deleted.
-A deleted line always has an equal earlier one, so one copy of every line stays.
-
-Extension looks `reach` lines back and 2 * `reach` ahead: a run that goes on has a further
-fingerprint there.  Each later position meets one first position, so matches grow with the
-fingerprints; a frequent fingerprint is pre-aggregated, and its join's larger side can be split.
+A text's lines (split at \n) are hashed.  A line weighs its words (up to WORDS), or WORDS for every
+`chars` characters where that is more; blank lines weigh nothing.  The grams at a line are the fewest
+lines from there on, and back from there, that weigh WORDS, however many blank lines lie between, and
+the line with the next one that weighs something where blank lines part them.  A window is one gram:
+as nearly every line is a gram by itself, none is left out, and every repeated run that weighs WORDS
+has a repeated gram at each of its lines.  Grams meet at their first position, by doc_id, text hash
+and line; the lines of all later ones are deleted.  A deleted line always has an equal earlier one,
+so one copy of every line stays.  Lines that weigh less than WORDS and whose neighbours differ stay.
+
+Each later position meets one first position, so matches grow with the grams; a frequent gram is
+pre-aggregated, and its join's larger side can be split.
 
 Defined cases: a null text has no lines and stays null; a row that occurs several times, with the
 same doc_id and text, is one document, kept as often as it occurs; rows with one doc_id but
@@ -25,71 +25,57 @@ from pyspark.sql import functions as F
 from quire.llm.common import let, staged
 
 CHARS = 50
-REACH = 8
+WORDS = 3
+BLANK, TWO, THREE = r"^[\x20\x09-\x0D]*+$", r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]", r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]++){2}[^\x20\x09-\x0D]"
 
 
 def _key(docs: DataFrame) -> dict[str, Column]:
     return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")}
 
 
-def fingerprints(docs: DataFrame, chars: int = CHARS, reach: int = REACH) -> DataFrame:
-    """(_id, _th, fp, pos, back, ahead): selected grams with the line hashes around them."""
-
-    def gram(hashes: Column, lengths: Column, i: Column) -> Column:
-        """struct<h, n>: the gram at line i and its number of lines; null where there is none."""
-        total, found = F.lit(0), F.lit(None).cast("struct<h:bigint,n:int>")
-        steps = []
-        for n in range(1, reach + 1):
-            total = total + F.coalesce(F.get(lengths, i + (n - 1)), F.lit(-chars * (reach + 1)))
-            lines = F.slice(hashes, i + 1, n)
-            steps.append((total >= chars, F.struct(F.xxhash64(lines, F.lit(n)).alias("h"), F.lit(n).alias("n"))))
-        for cond, value in reversed(steps):
-            found = F.when(cond, value).otherwise(found)
-        return found
-
-    def chosen(hashes: Column, grams: Column) -> Column:
-        least = F.transform(
-            grams,
-            lambda g, i: F.when(
-                g.isNotNull(),
-                F.array_min(F.transform(F.slice(grams, i + 1, g["n"]), lambda x: x["h"])),
-            ),
-        )
-        # the window's least gram stands for itself: it is marked if some window that covers it names it
-        places = F.flatten(
-            F.transform(
-                least,
-                lambda m, i: F.when(
-                    m.isNotNull(),
-                    F.filter(
-                        F.sequence(i, i + F.get(grams, i)["n"] - 1),
-                        lambda j: F.coalesce(F.get(grams, j)["h"] == m, F.lit(False)),
-                    ),
-                ).otherwise(F.array().cast("array<int>")),
-            )
-        )
-        return F.transform(
-            F.array_distinct(places),
-            lambda p: F.struct(
-                F.get(grams, p)["h"].alias("fp"),
-                p.alias("pos"),
-                F.reverse(F.slice(hashes, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)))).alias("back"),
-                F.slice(hashes, p + 1, 2 * reach).alias("ahead"),
-            ),
+def fingerprints(docs: DataFrame, chars: int = CHARS) -> DataFrame:
+    """(_id, _th, fp, pos, n): every gram, with its first line and number of lines."""
+
+    def weight(x: Column) -> Column:
+        by_chars = F.char_length(x) * WORDS / F.lit(chars)
+        return (
+            F.when(x.rlike(THREE) | (F.char_length(x) >= chars), F.lit(WORDS))
+            .when(x.rlike(BLANK), F.lit(0))
+            .otherwise(F.greatest(F.when(x.rlike(TWO), F.lit(2)).otherwise(F.lit(1)), F.floor(by_chars).cast("int")))
         )
 
+    def grams(hashes: Column, weights: Column, filled: Column) -> Column:
+        def at(i: Column, k: Column) -> Column:
+            own, ahead, behind = F.get(weights, i), F.get(filled, k + 1), F.get(filled, k - 1)
+            both = own + F.get(weights, ahead)
+            enough, enough_back = F.coalesce(both >= WORDS, F.lit(False)), F.coalesce(own + F.get(weights, behind) >= WORDS, F.lit(False))
+            single = own >= WORDS
+            last = F.when(single, i).when(enough, ahead).otherwise(F.get(filled, k + 2))
+            first = F.when(single, F.lit(None)).when(enough_back, behind).otherwise(F.get(filled, k - 2))
+            apart = F.when(enough & (ahead > i + 1), ahead)
+
+            def gram(a: Column, b: Column) -> Column:
+                n = b - a + 1
+                h = F.xxhash64(F.slice(hashes, a + 1, n), n)
+                return F.when(n.isNotNull(), F.struct(h.alias("fp"), a.cast("int").alias("pos"), n.cast("int").alias("n")))
+
+            return F.filter(F.array(gram(i, last), gram(first, i), gram(i, apart)), lambda g: g.isNotNull())
+
+        return F.array_distinct(F.flatten(F.transform(filled, at)))
+
     def of(lines: Column) -> Column:
         return let(
             F.transform(lines, lambda x: F.xxhash64(x)),
             lambda hashes: let(
-                F.transform(lines, lambda x: F.char_length(x)),
-                lambda lengths: let(
-                    F.transform(hashes, lambda _, i: gram(hashes, lengths, i)), lambda grams: chosen(hashes, grams)
+                F.transform(lines, weight),
+                lambda weights: let(
+                    F.filter(F.sequence(F.lit(0), F.size(weights) - 1), lambda i: F.get(weights, i) > 0),
+                    lambda filled: grams(hashes, weights, filled),
                 ),
             ),
         )
 
-    keyed = docs.select("text", *[c.alias(k) for k, c in _key(docs).items()]).filter(F.length("text") >= chars)
+    keyed = docs.select("text", *[c.alias(k) for k, c in _key(docs).items()]).filter(F.length("text") > 0)
     return keyed.select("_id", "_th", F.inline(let(F.split("text", "\n", -1), of)))
 
 
@@ -97,7 +83,7 @@ def later_runs(prints: DataFrame) -> DataFrame:
     """(_id, _th, first, last): lines to delete, by later position and its first position."""
     origin = (
         prints.groupBy("fp")
-        .agg(F.min(F.struct("_id", "_th", "pos", "back", "ahead")).alias("o"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("_id", "_th", "pos")).alias("o"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("fp", "o")
     )
@@ -105,28 +91,13 @@ def later_runs(prints: DataFrame) -> DataFrame:
     origin = staged(origin, "origins")
     later = (F.col("_id") != F.col("o._id")) | (F.col("_th") != F.col("o._th")) | (F.col("pos") != F.col("o.pos"))
 
-    def agree(a: str, b: str) -> Column:
-        n = F.least(F.size(a), F.size(b))
-        differ = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), False)
-        return F.when(differ == 0, n).otherwise((differ - 1).cast("int"))
-
-    return (
-        prints.join(origin, "fp")
-        .filter(later)
-        .select(
-            "_id",
-            "_th",
-            (F.col("pos") - agree("back", "o.back")).alias("first"),
-            (F.col("pos") + agree("ahead", "o.ahead") - 1).alias("last"),
-        )
-        .filter("last >= first")
-    )
+    return prints.join(origin, "fp").filter(later).select("_id", "_th", F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1).alias("last"))
 
 
-def deduped(docs: DataFrame, chars: int = CHARS, reach: int = REACH) -> DataFrame:
+def deduped(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     """docs' columns with `text` cleaned, and _deleted: the numbers of the lines that went (null for none)."""
     gone = (
-        later_runs(fingerprints(docs, chars, reach))
+        later_runs(fingerprints(docs, chars))
         .select("_id", "_th", F.explode(F.sequence("first", "last")).alias("line"))
         .groupBy("_id", "_th")
         .agg(F.sort_array(F.collect_set("line")).alias("_deleted"))

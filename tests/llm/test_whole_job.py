@@ -2,7 +2,7 @@
 
 import random
 
-from quire.llm import decontamination, substring_dedup
+from quire.llm import decontamination, line_dedup, substring_dedup
 
 
 def prose(seed, n):
@@ -56,3 +56,20 @@ def test_decontamination_of_many_items(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.query(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
     assert got == {(i % 500, i) for i in range(2000)}
+
+
+def test_line_dedup_of_short_lines(spark):
+    """Frequent short lines among others, and passages with a word per line, also with blank lines between."""
+    other = [" ".join(prose(i, 12)) for i in range(20)]
+    column = [f"item{i}" for i in range(12)]
+    parted = [x for w in prose(90, 6) for x in (w, *[""] * 12)]
+    texts = [
+        [other[0], "Of, edti oner.", other[1]], [other[2], "Of, edti oner.", other[3]],
+        [other[4], *column, other[5]], [other[6], *column, other[7]], [other[8], "item3", other[9]],
+        [other[10], *parted, other[11]], [other[12], *parted, other[13]],
+        [other[14], "", other[15], "yes", other[16]], [other[14], "", other[15], "yes", other[17]],
+    ]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.query(docs).collect()}
+    ends = len(parted) - 11  # the last word's line; the blank lines behind it stand at the passage's end
+    assert got == {0: [], 1: [1], 2: [], 3: [*range(1, 13)], 4: [], 5: [], 6: [*range(1, ends)], 7: [], 8: [0, 1, 2, 3]}
