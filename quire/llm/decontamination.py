@@ -17,7 +17,7 @@ rarest.  Words are compared with ASCII capitals folded and ASCII punctuation rem
 more passages than RANK a group's latent space holds each one's vector.
 
 Defined cases: null or blank texts and items match nothing; an item of over PASSAGE words is cut
-into parts, each of which counts; items and documents that occur twice give the same pairs once for
+into parts, each of which counts, the last reaching back so that it has PASSAGE words too; items and documents that occur twice give the same pairs once for
 each document row; an empty benchmark matches nothing; a null doc_id is kept as null.
 """
 
@@ -71,6 +71,7 @@ def items_of(rows) -> list[Item]:
         cut = max(data.rstrip(b" .!?\n").rfind(x) for x in (b". ", b".\n", b"? ", b"! ", b"\n"))
         answer = len(words(data[: cut + 1])) if cut >= 0 else 0
         for at in range(0, len(own), PASSAGE):
+            at = max(0, min(at, len(own) - PASSAGE))
             part = own[at : at + PASSAGE]
             out.append(Item(item_id, part, min(max(answer - at, 0), len(part) - 1)))
     return out

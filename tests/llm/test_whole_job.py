@@ -73,3 +73,12 @@ def test_line_dedup_of_short_lines(spark):
     got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.query(docs).collect()}
     ends = len(parted) - 11  # the last word's line; the blank lines behind it stand at the passage's end
     assert got == {0: [], 1: [1], 2: [], 3: [*range(1, 13)], 4: [], 5: [], 6: [*range(1, ends)], 7: [], 8: [0, 1, 2, 3]}
+
+
+def test_decontamination_of_a_long_item(spark):
+    """A word over PASSAGE is no part of its own: a document that holds just that word stays."""
+    item = prose(70, decontamination.PASSAGE + 1)
+    texts = [(1, " ".join([*prose(71, 20), *item, *prose(72, 20)])), (2, item[-1]), (3, f"x y {item[-1]} z")]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [r["doc_id"] for r in decontamination.query(docs, bench).collect()] == [1]
+    assert [r["doc_id"] for r in decontamination.apply(docs, bench).orderBy("doc_id").collect()] == [2, 3]
