@@ -1,11 +1,12 @@
-"""N-gram Jaccard self-join by PartEnum signatures.
+"""N-gram Jaccard self-join by single-part prefix signatures, in place of PartEnum's subsets of parts.
 
 A document's set holds its distinct 5-word shingles.  Sizes fall into bands; two sets with Jaccard
 0.8 or more meet in the larger one's band, as the smaller joins the next band too where it is
 large enough.  In a band the feature domain is cut into parts.  Two similar sets differ in at most
 k = (|A| + |B|) / 9 elements, so in at most k parts, and must agree on all but k of their filled
 parts.  Enumerating the k + 1 least signatures of each set's filled parts, in one order for all,
-therefore gives similar sets a common signature.  (Bands of up to SINGLE elements use a part for
+therefore gives similar sets a common signature: at most k of either's signatures are less than the
+least one they share.  No subsets of parts are enumerated.  (Bands of up to SINGLE elements use a part for
 each element; in larger ones a set of n elements fills about 0.37 n parts or more against a k of at
 most 0.25 n; filling k or fewer is 7 standard deviations away.)
 
