@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
+from quire.llm.common import dropped, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = staged(small, "edges")
+        before, e = e, staged(small, "edges")
+        dropped(before)
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -1,21 +1,21 @@
-"""N-gram Jaccard self-join by single-part prefix signatures, in place of PartEnum's subsets of parts.
+"""N-gram Jaccard self-join by PartEnum signatures.
 
 A document's set holds its distinct 5-word shingles.  Sizes fall into bands; two sets with Jaccard
 0.8 or more meet in the larger one's band, as the smaller joins the next band too where it is
-large enough.  In a band the feature domain is cut into parts.  Two similar sets differ in at most
-k = (|A| + |B|) / 9 elements, so in at most k parts, and must agree on all but k of their filled
-parts.  Enumerating the k + 1 least signatures of each set's filled parts, in one order for all,
-therefore gives similar sets a common signature: at most k of either's signatures are less than the
-least one they share.  No subsets of parts are enumerated.  (Bands of up to SINGLE elements use a part for
-each element; in larger ones a set of n elements fills about 0.37 n parts or more against a k of at
-most 0.25 n; filling k or fewer is 7 standard deviations away.)
-
-Signatures are dealt in packed blocks to buckets whose number follows the text's size.  In a
-bucket, sets that share a signature are compared by parity sketches, which never overstate the
-difference; each set's nearest few are verified exactly, verified pairs form components, and what
-is left, pairs of sets in different components that share a signature and pass the sketch, is
-verified in turn until nothing is left.  So components are exact though not all pairs of a large
-group are listed.  Exact copies are one set from the start.
+large enough.  Two such sets of a band differ in at most k = 2 * largest / 9 elements.
+
+The feature domain is cut into n1 parts of CELLS cells each.  A set's signatures are, for each part,
+the hashes of its elements in every subset of CELLS - 1 of the part's cells.  At most k / 2 parts hold
+two differences or more, so at least spare + 1 of n1 = k / 2 + 1 + spare parts hold one or none,
+and there the subset without the differing cell is the same for both.  Empty subsets would be
+everybody's signature and are left out: a part is weak for a set if its elements there lie in one cell
+or none.  A set with no more than `spare` weak parts has a filled common signature with every
+similar set.  A set with more takes part in a further round, in which the domain is cut anew, and so
+on until it has few enough; similar sets meet in the last round of the one that ends first.
+So no similar pair is left without a common signature, and no signature is empty.
+
+Sets that share a signature are joined as in `stars`: exact components, not all pairs of a group.
+Exact copies are one set from the start.
 
 Defined cases: null, empty or blank text has an empty set and is linked with nothing, its component
 is its own doc_id; a text of 1 to 4 words has its word sequence as its one shingle; rows with the
@@ -26,34 +26,24 @@ null component and links nothing.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import coded_words, handed_back, staged, worker_cache
+from quire.llm.common import coded_words, staged, worker_cache
 from quire.llm.components import components
+from quire.llm.stars import DEN, NUM, linked, mix
 
 WORDS = 5
-#: Jaccard of 4/5: |A| >= 4/5 |B|, and |A ^ B| <= (|A| + |B|) / 9.
-NUM, DEN = 4, 5
-SINGLE = 64
-PART_SHARE = 0.4
-NEAREST = 2
-DENSE = 48
-SKETCH_MOST = 4096
-BUCKET_CHARS = 20_000_000
-#: Shingles that a task deals at a time.
-HELD = 500_000
-#: Bytes of text that are split at a time.
-SLICE = 1 << 20
+CELLS = 3
 CACHED_WORDS = 150_000
 U = np.uint64
+STEP = U(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
+class Hashes(dict):
     """Word to 64-bit hash, kept for the frequent words that come first."""
 
     def __missing__(self, word: bytes) -> int:
@@ -65,400 +55,158 @@ class _Hashes(dict):
         return value
 
 
-def _hashes() -> _Hashes:
-    return worker_cache("hashes", _Hashes)
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words in turn, ASCII capitals folded, and where each text's begin (one more place)."""
+    known = worker_cache("hashes", Hashes)
+    words, numbers, places = coded_words(texts)
+    return np.fromiter(map(known.__getitem__, words), U, len(words))[numbers], places
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the WORDS words from each place on; those at the end of a text run into the next."""
+    whole = np.full(max(0, len(h) - WORDS + 1), U(WORDS))
+    for j in range(WORDS):
+        whole = mix(whole * STEP + h[j : len(h) - WORDS + 1 + j]) if len(whole) else whole
+    return whole
 
 
-def shingle_sets(texts: list[bytes | None], known: dict[bytes, int]) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    words, numbers, places = coded_words([t.lower() if t else b"" for t in texts])
-    h = np.fromiter(map(known.__getitem__, words), U, len(words))[numbers]
-    whole = np.full(max(0, len(h) - WORDS + 1), U(WORDS))
-    for j in range(WORDS):
-        whole = _mix(whole * U(0x9E3779B97F4A7C15) + h[j : len(h) - WORDS + 1 + j]) if len(whole) else whole
-    out = []
+    h, places = hashed_words([t.lower() if t else b"" for t in texts])
+    whole, out = shingles(h), []
     for a, b in itertools.pairwise(places.tolist()):
         if b - a >= WORDS:
             out.append(np.unique(whole[a : b - WORDS + 1]))
         else:
             acc = np.full(min(1, b - a), U(b - a))
             for j in range(a, b):
-                acc = _mix(acc * U(0x9E3779B97F4A7C15) + h[j : j + 1])
+                acc = mix(acc * STEP + h[j : j + 1])
             out.append(acc)
     return out
 
 
-def _sets(batch: pa.RecordBatch):
-    """(ids, sets) of a batch, some texts at a time."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1)
-    at = 0
-    while at < len(texts):
-        part, first, size = [], at, 0
-        while at < len(texts) and size < SLICE:
-            part.append(texts[at].as_py())
-            size += len(part[-1] or b"")
-            at += 1
-        yield ids[first:at], shingle_sets(part, _hashes())
-
-
-def bands(size: int) -> list[tuple[int, int, int]]:
-    """(band, its largest size, k) of each band that a set of the size takes part in."""
-    low, band, out = 1, 0, []
-    while True:
-        behind = max(low + 1, low + low // 2)
-        if size < behind and DEN * size >= NUM * low:
-            out.append((band, behind - 1, (size + min(behind - 1, size * DEN // NUM)) // 9))
-        if DEN * size < NUM * behind:
-            return out
-        low, band = behind, band + 1
-
-
-def signatures(items: np.ndarray, band: int, largest: int, k: int) -> np.ndarray:
-    """The k + 1 least signatures of the set's filled parts."""
-    if largest > SINGLE:
-        part = ((items >> U(32)) * U(max(1, int(PART_SHARE * largest)))) >> U(32)
-        starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        items = np.add.reduceat(_mix(items), starts)
-    keys = _mix(items + U((band + 1) * 0xD1342543DE82EF95 % 2**64))
-    return keys if len(keys) <= k + 1 else np.partition(keys, k)[: k + 1]
-
-
-def sketch(items: np.ndarray, largest: int) -> bytes:
-    """Parities of the elements in each cell: two sets differ in as many elements as cells, or more."""
-    cells = 64
-    while cells < min(largest // 2, SKETCH_MOST):
-        cells *= 2
-    return np.packbits(np.bincount((items & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
-
-
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-
-
-def _set_hash(items: np.ndarray) -> int:
+def read_sets(texts: list[bytes | None]) -> tuple:
+    """One place per text: its set, named by the set's hash."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(items.tobytes()) >> 1
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) of every row; set_hash is null for empty sets."""
-
-    def rows(batches):
-        for ids, sets in itertools.chain.from_iterable(map(_sets, batches)):
-            sizes = [len(x) for x in sets]
-            keys = [_set_hash(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "set_hash"])
-
-    return _text(docs).mapInArrow(rows, "doc_id bigint, n_shingles bigint, set_hash bigint")
-
-
-def _packed(ids, hashes, sizes, sketches: list[bytes], keys: np.ndarray, owners: np.ndarray) -> bytes:
-    """Entries (a set in a band) and their signatures, for one bucket."""
-    widths = np.fromiter(map(len, sketches), np.int32, len(sketches))
-    parts = (np.array([len(ids), len(keys)], np.int64), ids.astype(np.int64), hashes.astype(np.int64), sizes.astype(np.int32), widths, keys.astype(U), owners.astype(np.uint32))
-    return b"".join([*(x.tobytes() for x in parts), *sketches])
-
-
-def _unpack(data: bytes) -> tuple:
-    n, m = np.frombuffer(data, np.int64, 2)
-    at, out = 16, []
-    for kind, count in ((np.int64, n), (np.int64, n), (np.int32, n), (np.int32, n), (U, m), (np.uint32, m)):
-        out.append(np.frombuffer(data, kind, count, at))
-        at += out[-1].nbytes
-    return (*out, np.frombuffer(data, np.uint8, -1, at))
-
-
-def part_enum(sets: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
-    """(set number, largest size to compare with, signatures) of each set in each of its bands."""
-    return [(i, largest, signatures(x, band, largest, k)) for i, x in enumerate(sets) for band, largest, k in bands(len(x))]
-
-
-def _dealt(lead: dict[int, int], sets: dict[int, np.ndarray], buckets: int, sign) -> pa.RecordBatch:
-    order = list(sets)
-    entries = sign([sets[k] for k in order])
-    which = np.fromiter((e[0] for e in entries), np.int64, len(entries))
-    names = np.array(order, np.int64)
-    ids = np.fromiter((lead[k] for k in order), np.int64, len(order))
-    sizes = np.fromiter((len(sets[k]) for k in order), np.int64, len(order))
-    sketches = [sketch(sets[order[i]], largest) for i, largest, _ in entries]
-    keys = np.concatenate([e[2] for e in entries]) if entries else np.empty(0, U)
-    owners = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
-    where = (keys % U(buckets)).astype(np.int64)
-    by = np.argsort(where, kind="stable")
-    keys, owners, where = keys[by], owners[by], where[by]
-    cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(keys) else [0]
-    out = []
-    for lo, hi in itertools.pairwise(cuts):
-        own, local = np.unique(owners[lo:hi], return_inverse=True)
-        sel = which[own]
-        out.append((int(where[lo]), _packed(ids[sel], names[sel], sizes[sel], [sketches[i] for i in own.tolist()], keys[lo:hi], local)))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
-
-
-def blocks(docs: DataFrame, buckets: int, sign=part_enum) -> DataFrame:
-    """(bucket, block): every set's signatures; copies within a task's slice go once."""
-
-    def rows(batches):
-        lead: dict[int, int] = {}
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-        for doc_id, items in ((d, x) for b in batches for ids, own in _sets(b) for d, x in zip(ids, own, strict=True)):
-            if doc_id is None or not len(items):
-                continue
-            key = _set_hash(items)
-            lead[key] = min(lead.get(key, doc_id), doc_id)
-            if key not in sets:
-                sets[key] = items
-                held += len(items)
-            if held > HELD:
-                yield _dealt(lead, sets, buckets, sign)
-                lead, sets, held = {}, {}, 0
-        yield _dealt(lead, sets, buckets, sign)
-        handed_back()
-
-    return _text(docs).mapInArrow(rows, "bucket int, block binary")
-
-
-def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether pairs may be similar, and the least number of elements in which they differ."""
-    apart = np.bitwise_count(marks[x] ^ marks[y]).sum(-1, dtype=np.int64)
-    a, b = sizes[x].astype(np.int64), sizes[y].astype(np.int64)
-    return (9 * apart <= a + b) & (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)), apart
-
-
-def _pairs(members: list[np.ndarray], sizes: np.ndarray, marks: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes that stand in one group, pass the sketch and (with labels) are of different
-    components.  A large group is compared in strips; in the first sweep (without labels) a node
-    of it keeps its nearest only, and a group beyond a few thousand is compared with pivots."""
-    xs, ys, ds = [], [], []
-    small = [m for m in members if len(m) <= DENSE]
-    if small:
-        lens = np.array([len(m) for m in small])
-        flat = np.concatenate(small)
-        base = np.cumsum(lens) - lens
-        for n in np.unique(lens):
-            grid = flat[base[lens == n][:, None] + np.arange(n)]
-            i, j = np.triu_indices(n, 1)
-            xs.append(grid[:, i].ravel())
-            ys.append(grid[:, j].ravel())
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        key = np.unique(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y))
-        x, y = key >> 32, key & 0xFFFFFFFF
-        if labels is not None:
-            keep = labels[x] != labels[y]
-            x, y = x[keep], y[keep]
-        xs, ys, ds = [], [], []
-        for lo in range(0, len(x), 1 << 18):
-            ok, d = _close(x[lo : lo + (1 << 18)], y[lo : lo + (1 << 18)], sizes, marks)
-            xs.append(x[lo : lo + (1 << 18)][ok])
-            ys.append(y[lo : lo + (1 << 18)][ok])
-            ds.append(d[ok])
-    seen = set()
-    for m in members:
-        if len(m) <= DENSE or (key := m.tobytes()) in seen:
-            continue
-        seen.add(key)
-        if labels is None:
-            others = m if len(m) <= 3000 else np.concatenate([m[:: len(m) // 1000], m[:64]])
-            few = NEAREST
-        else:
-            names, counts = np.unique(labels[m], return_counts=True)
-            if len(names) < 2:
-                continue
-            main = names[counts.argmax()]
-            others, few = m, None
-            m = m[labels[m] != main]
-        for lo in range(0, len(m), strip := max(1, (1 << 18) // len(others))):
-            part = m[lo : lo + strip]
-            x, y = np.repeat(part, len(others)), np.tile(others, len(part))
-            ok, d = _close(x, y, sizes, marks)
-            ok &= x != y
-            if labels is not None:
-                ok &= labels[x] != labels[y]
-            if few:
-                d = np.where(ok, d, 1 << 40).reshape(len(part), -1)
-                pick = np.argpartition(d, few, axis=1)[:, :few] if d.shape[1] > few else np.tile(np.arange(d.shape[1]), (len(part), 1))
-                best = np.take_along_axis(d, pick, 1)
-                rows, cols = np.nonzero(best < 1 << 40)
-                xs.append(part[rows])
-                ys.append(others[pick[rows, cols]])
-                ds.append(best[rows, cols])
-            else:
-                xs.append(x[ok])
-                ys.append(y[ok])
-                ds.append(d[ok])
-    if not xs:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-    key, first = np.unique(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y), return_index=True)
-    return key >> 32, key & 0xFFFFFFFF, d[first]
-
-
-def _groups(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """A bucket's nodes and groups, by sketch width: (ids, set hashes, sizes, sketches, groups of node numbers)."""
-    parts = [_unpack(x) for x in payloads]
-    by_width: dict[int, list] = {}
-    for ids, hashes, sizes, widths, keys, owners, raw in parts:
-        ends = np.cumsum(widths, dtype=np.int64)
-        for width in np.unique(widths):
-            own = np.flatnonzero(widths == width)
-            number = np.full(len(ids), -1, np.int64)
-            number[own] = np.arange(len(own))
-            mine = number[owners] >= 0
-            marks = raw[(ends[own] - width)[:, None] + np.arange(width)]
-            by_width.setdefault(int(width), []).append((ids[own], hashes[own], sizes[own], marks, keys[mine], number[owners[mine]]))
-    out = []
-    for found in by_width.values():
-        ids, hashes, sizes, marks, keys = (np.concatenate([f[i] for f in found]) for i in range(5))
-        shift = np.cumsum([0, *(len(f[0]) for f in found[:-1])])
-        owners = np.concatenate([f[5] + s for f, s in zip(found, shift, strict=True)])
-        # entries of one set are one node, known by its least id
-        order = np.lexsort((ids, hashes))
-        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-        node = np.empty(len(ids), np.int64)
-        node[order] = np.cumsum(new) - 1
-        lead = order[new]
-        owners = node[owners]
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])))
-        keys, owners = keys[fresh], owners[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        lens = np.diff(np.concatenate((starts, [len(keys)])))
-        many = np.flatnonzero(lens > 1)
-        groups = [owners[s : s + n] for s, n in zip(starts[many], lens[many], strict=True)]
-        words = marks[lead].view(np.uint64) if len(lead) else np.empty((0, 1), U)
-        out.append((ids[lead], hashes[lead], sizes[lead], words, groups))
-    return out
-
-
-FOUND = "bucket int, kind int, a bigint, b bigint, block binary"
-
-
-def _rows(bucket: int, kind: int, a, b=None, block=None) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": np.int32(bucket), "kind": np.int32(kind), "a": a, "b": a if b is None else b, "block": block})
-
-
-def first_sweep(dealt: DataFrame) -> DataFrame:
-    """Of each bucket: candidate pairs (kind 0), and, for the later sweeps, the groups whose pairs
-    are not all among them (kind 1) with their nodes (kind 2)."""
-
-    def sweep(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, out = key[0], []
-        for ids, hashes, sizes, marks, groups in _groups(list(frame["block"])):
-            x, y, d = _pairs(groups, sizes, marks, None)
-            # a node's nearest few
-            ends, far = np.concatenate([x, y]), np.concatenate([d, d])
-            order = np.lexsort((far, ends))
-            place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order], "left")
-            take = np.zeros(len(x), bool)
-            take[order[place < NEAREST] % max(1, len(x))] = True
-            out.append(_rows(bucket, 0, ids[x[take]], ids[y[take]]))
-            # groups with pairs that were passed over, or of which not all pairs were seen
-            open_ = np.zeros(len(ids), bool)
-            open_[x[~take]] = open_[y[~take]] = True
-            left = {g.tobytes(): g for g in groups if len(g) > DENSE or open_[g].sum() > 1}
-            if left:
-                nodes = np.unique(np.concatenate(list(left.values())))
-                members = np.concatenate(list(left.values()))
-                keys = np.repeat(np.arange(len(left)), [len(g) for g in left.values()])
-                block = _packed(ids[nodes], hashes[nodes], sizes[nodes], [m.tobytes() for m in marks[nodes]], keys, np.searchsorted(nodes, members))
-                out += [_rows(bucket, 1, [0], None, [block]), _rows(bucket, 2, ids[nodes])]
-        done = pd.concat(out) if out else _rows(bucket, 0, np.empty(0, np.int64))
-        del out
-        handed_back()
-        return done
-
-    return dealt.groupBy("bucket").applyInPandas(sweep, FOUND)
-
-
-def next_sweep(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that the groups left over still hold."""
-
-    def sweep(key: tuple, blocks_: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(names["node"], names["component"], strict=True))
-        out = []
-        for payload in blocks_["block"]:
-            for ids, _, sizes, marks, groups in _groups([payload]):
-                label = np.array([known.get(i, i) for i in ids.tolist()], np.int64)
-                x, y, _ = _pairs(groups, sizes, marks, label)
-                out.append(pd.DataFrame({"a": ids[x], "b": ids[y]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    mine = left.filter("kind = 2").select(F.col("bucket").alias("of"), F.col("a").alias("node")).join(labels, "node").select("of", "node", "component")
-    return left.filter("kind = 1").select("bucket", "block").groupBy("bucket").cogroup(mine.groupBy("of")).applyInPandas(sweep, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets have Jaccard 0.8 or more, by their whole sets."""
-
-    def sets(batches):
-        for ids, own in itertools.chain.from_iterable(map(_sets, batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"])
-
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = _text(docs).join(nodes, "doc_id", "left_semi")
-    held = staged(wanted.mapInArrow(sets, "node bigint, items binary"), "sets")
-    joined = (
-        pairs.join(held.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        .join(held.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    return joined.mapInArrow(similar, "a bigint, b bigint").distinct()
-
-
-def linked(docs: DataFrame, sign=part_enum, chars: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_hash) for every row."""
-    docs = docs.select("doc_id", "text")
-    if chars is None:
-        chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = staged(classes(docs), "classes")
-    found = staged(first_sweep(blocks(docs, max(8, chars // BUCKET_CHARS), sign)), "sweep")
-    # a doc_id whose rows differ joins their sets: its rows are links too
-    own = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    lead = own.groupBy("set_hash").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    copies = own.join(lead, "set_hash").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).filter("a <> b").distinct()
-    tried = pairs = found.filter("kind = 0").select("a", "b").distinct()
-    edges = staged(verified(pairs, docs), "links")
-    left = found.filter("kind > 0")
-    more = not left.isEmpty()
-    while more:
-        labels = components(edges)
-        new = next_sweep(left, labels).distinct().join(tried, ["a", "b"], "left_anti")
-        new = staged(new, "pairs")
-        more = not new.isEmpty()
-        if more:
-            good = staged(verified(new, docs), "links")
-            more = not good.isEmpty()
-            edges, tried = edges.unionByName(good), tried.unionByName(new)
-    labels = components(edges.unionByName(copies))
-    return rows.join(labels, rows["doc_id"] == labels["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "set_hash"
-    )
+    sets = shingle_sets(texts)
+    n = len(sets)
+    node = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 if len(x) else -1 for x in sets), np.int64, n)
+    return np.arange(n), np.zeros(n, np.int32), np.fromiter(map(len, sets), np.int64, n), node, sets
+
+
+def starts(most: int = 1 << 40) -> np.ndarray:
+    """The least size of every band."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, out[-1] + out[-1] // 2))
+    return np.array(out, np.int64)
+
+
+def enough(size: float, parts: int, spare: int) -> float:
+    """Share of the sets of a size with no more than `spare` weak parts, about."""
+    filled = 1 - math.exp(-size / (parts * CELLS))
+    weak = (1 - filled) ** CELLS + CELLS * filled * (1 - filled) ** (CELLS - 1)
+    # a binomial's tail by the normal one
+    return max(1e-9, 0.5 * math.erfc((parts * weak - spare - 0.5) / math.sqrt(2 * parts * weak * (1 - weak))))
+
+
+def scheme(band: int) -> tuple[int, int]:
+    """(parts, spare) of a band, those of the fewest signatures over all rounds; no parts where only equal sets are similar."""
+    low, largest = int(starts()[band]), int(starts()[band + 1]) - 1
+    k = 2 * largest // 9
+    if k == 0:
+        return 0, 0
+    least = -(-NUM * low // DEN)
+    sizes = [least + (largest - least) * i / 8 for i in range(9)]
+    best = (math.inf, 0, 0)
+    for spare in range(k + 2):
+        parts = k // 2 + 1 + spare
+        best = min(best, (sum(parts / enough(n, parts, spare) for n in sizes), parts, spare))
+        if parts > 3 * best[1]:
+            break
+    return best[1:]
+
+
+def _schemes(band: np.ndarray) -> np.ndarray:
+    names, at = np.unique(band, return_inverse=True)
+    return np.array([scheme(b) for b in names.tolist()], np.int64).reshape(-1, 2).T[:, at]
+
+
+def _signed(sets: list[np.ndarray], band: np.ndarray, of: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, entry of each, whether an entry needs a further round): entry i is the set of[i] in band[i]."""
+    parts, spare = _schemes(band)
+    lens = np.fromiter((len(sets[i]) for i in of.tolist()), np.int64, len(of))
+    items = np.concatenate([sets[i] for i in of.tolist()])
+    if turn:
+        items = mix(items + U(turn * int(STEP) % 2**64))
+    first = np.cumsum(parts * CELLS) - parts * CELLS
+    cells = int((parts * CELLS).sum())
+    cell = ((items >> U(32)) * np.repeat((parts * CELLS).astype(U), lens)) >> U(32)
+    cell = cell.astype(np.int64) + np.repeat(first, lens)
+    items = mix(items)
+    if turn:
+        order = np.argsort(cell, kind="stable")
+        cell, items = cell[order], items[order]
+    cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    sums, filled = np.zeros(cells, U), np.zeros(cells, bool)
+    sums[cell[cuts]] = np.add.reduceat(items, cuts)
+    filled[cell[cuts]] = True
+    sums, filled = sums.reshape(-1, CELLS), filled.reshape(-1, CELLS)
+    entry = np.repeat(np.arange(len(of)), parts)
+    weak = np.bincount(entry[filled.sum(axis=1) < 2], minlength=len(of))
+    part = np.arange(len(entry)) - np.repeat(first // CELLS, parts)
+    name = mix(((band[entry].astype(U) * U(64) + U(turn)) << U(40)) + part.astype(U))
+    keys, owners = [], []
+    whole, count = sums.sum(axis=1, dtype=U), filled.sum(axis=1)
+    for left_out in range(CELLS):  # every subset of CELLS - 1 cells
+        use = np.flatnonzero(count > filled[:, left_out])
+        keys.append(mix((whole[use] - sums[use, left_out]) ^ (name[use] + U(left_out))))
+        owners.append(entry[use])
+    return np.concatenate(keys), np.concatenate(owners), weak > spare
+
+
+def part_enum(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, set number of each)."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    low = starts()
+    band, of = np.searchsorted(low, sizes, "right") - 1, np.arange(len(sets))
+    joins = DEN * sizes >= NUM * low[band + 1]
+    band, of = np.concatenate([band, band[joins] + 1]), np.concatenate([of, of[joins]])
+    use = _schemes(band)[0] > 0
+    band, of = band[use], of[use]
+    keys, owners, turn = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+    while len(of):
+        k, entry, more = _signed(sets, band, of, turn)
+        keys.append(k)
+        owners.append(of[entry])
+        band, of, turn = band[more], of[more], turn + 1
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies) for every row; n_copies: rows with an equal set, itself included."""
+    places, labels = linked(docs, read_sets, part_enum)
+    own = places.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+    # a doc_id whose rows differ joins their sets
+    same = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    both = staged(same.select("a", "b").unionByName(own.join(same, "doc_id").select(F.col("node").alias("a"), "b")), "joint")
+    if not both.isEmpty():
+        labels = staged(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(both)), "labels")
+    named = own.join(labels, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("node", "component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    # a row per different set; a component's least document is taken over these
+    head = least.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    of = staged(least.join(head, "component").select("node", "component_id", "n_copies").filter("n_copies > 1 OR component_id <> least"), "classes")
+    rows = places.join(of, "node", "left")
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("node").isNotNull(), F.coalesce("n_copies", F.lit(1))).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the one whose doc_id names it."""
-    kept = linked(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    kept = joined(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return linked(docs).select("doc_id", "n_shingles", "component_id")
+    return joined(docs).select("doc_id", "n_shingles", "component_id")
