@@ -120,7 +120,7 @@ def scheme(band: int) -> tuple[int, int]:
     least = -(-NUM * low // DEN)
     sizes = [least + (largest - least) * i / 8 for i in range(9)]
     best = (math.inf, 0, 0)
-    for spare in range(k + 2):
+    for spare in range(0, k + 2, max(1, k // 64)):
         parts = k // 2 + 1 + spare
         best = min(best, (sum(parts / enough(n, parts, spare) for n in sizes), parts, spare))
         if parts > 3 * best[1]:
