@@ -25,13 +25,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import staged
-from quire.llm.ngram_join import _hashes, _mix, linked
+from quire.llm.common import dropped, staged, worker_cache
+from quire.llm.ngram_join import WORDS, Hashes, hashed_words, shingles
+from quire.llm.stars import linked, mix
 
 MIN_WORDS = 10
 SIMILAR = 0.8
@@ -40,7 +40,7 @@ RECALL = 0.999
 SPAN, GRAM = 50, 25
 U = np.uint64
 C = U(0x9E3779B97F4A7C15)
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def tuned(values: int = VALUES, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
@@ -49,54 +49,53 @@ def tuned(values: int = VALUES, similar: float = SIMILAR, recall: float = RECALL
     return values // rows, rows
 
 
-def min_hash_bands(sets: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
-    """Band keys of each set.  The sizes to compare with follow the set's own, in powers of 5/4, so
-    that sketches are of one width between neighbours only; keys are shared by all."""
-    if not sets:
-        return []
+def min_hash_bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, set number of each).  Elements are hashes, so that products with odd numbers order them anew."""
     bands, rows = tuned()
     flat = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    seeds = _mix(np.arange(1, bands * rows + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    begins = np.cumsum([0, *map(len, sets[:-1])])
+    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=U) * C).reshape(-1, 2)
     keys = np.empty((len(sets), bands), U)
     for band in range(bands):
         acc = np.full(len(sets), U(band + 1))
-        for seed in seeds[band * rows : (band + 1) * rows]:
-            acc = _mix(acc * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mix(flat ^ seed), starts))
+        for flip, factor in seeds[band * rows : (band + 1) * rows]:
+            acc = mix(acc * C + np.minimum.reduceat((flat ^ flip) * (factor | U(1)), begins))
         keys[:, band] = acc
-    return [(i, WIDTH, keys[i]) for i in range(len(sets))]
-
-
-#: Sketches of paragraphs all have the width for sets of up to this size: two widths never meet.
-WIDTH = 256
-
-
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(paragraph, text, doc_id, line, n_words); paragraph is a hash of the words."""
-
-    def rows(batches):
-        schema = pa.schema([("paragraph", pa.int64()), ("text", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32())])
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc_id is None or (data := text.as_py()) is None:
-                    continue
-                for i, line in enumerate(data.lower().split(b"\n")):
-                    own = line.split()
-                    if len(own) >= min_words:
-                        joined = b" ".join(own)
-                        for column, value in zip(out, (xxhash.xxh3_64_intdigest(joined) >> 1, joined, doc_id, i, len(own)), strict=True):
-                            column.append(value)
-                        size += len(joined)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                    out, size = ([], [], [], [], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        rows, "paragraph bigint, text binary, doc_id bigint, line int, n_words int"
-    )
+    return keys.ravel(), np.repeat(np.arange(len(sets)), bands)
+
+
+class _Sets:
+    """The shingle sets of paragraphs, made when asked for."""
+
+    def __init__(self, whole: np.ndarray, places: np.ndarray) -> None:
+        self.whole, self.places = whole, places
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.unique(self.whole[self.places[i] : self.places[i + 1] - WORDS + 1])
+
+
+def _summed(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([U(0)], np.cumsum(x, dtype=U)))
+    return total[places[1:]] - total[places[:-1]]
+
+
+def read_paragraphs(texts: list[bytes | None]) -> tuple:
+    """A place for each line of MIN_WORDS words or more, named by a hash of its words in turn."""
+    lines, of, nth = [], [], []
+    for i, text in enumerate(texts):
+        if text:
+            own = text.lower().split(b"\n")
+            lines += own
+            of += [i] * len(own)
+            nth += range(len(own))
+    h, places = hashed_words(lines)
+    n = np.diff(places)
+    at = np.arange(len(h)) - np.repeat(places[:-1], n)
+    node = (mix(_summed(mix(h + mix(at.astype(U) + U(1))), places) + n.astype(U)) >> U(1)).astype(np.int64)
+    use = np.flatnonzero(n >= MIN_WORDS)
+    kept = np.repeat(n >= MIN_WORDS, n)
+    sets = _Sets(shingles(h[kept]), np.concatenate(([0], np.cumsum(n[use]))))
+    return np.array(of, np.int64)[use], np.array(nth, np.int32)[use], n[use], node[use], sets
 
 
 def _widened(x: np.ndarray, width: int, joined) -> np.ndarray:
@@ -110,7 +109,7 @@ def _widened(x: np.ndarray, width: int, joined) -> np.ndarray:
 
 
 def _hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(a * C + b)
+    return mix(a * C + b)
 
 
 def _windows(data: bytes, gone: list[int] | None):
@@ -120,7 +119,7 @@ def _windows(data: bytes, gone: list[int] | None):
     own = lower.split()
     if len(own) < SPAN:
         return None
-    h = np.fromiter(map(_hashes().__getitem__, own), U, len(own))
+    h = np.fromiter(map(worker_cache("hashes", Hashes).__getitem__, own), U, len(own))
     counts = [len(line.split()) for line in lower.split(b"\n")]
     line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     grams = _widened(h, GRAM, _hashed)
@@ -196,12 +195,9 @@ def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n_words, component_id, first_doc_id, first_line, removed) of every paragraph
     that occurs more than once, exactly or nearly."""
-    found = paragraphs(docs)
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    places = staged(found.drop("text"), "places")
-    links = linked(found.select(F.col("paragraph").alias("doc_id"), "text"), min_hash_bands, chars)
-    of = links.groupBy(F.col("doc_id").alias("paragraph")).agg(F.min("component_id").alias("component_id"))
-    named = places.join(of, "paragraph")
+    places, labels = linked(docs, read_paragraphs, min_hash_bands)
+    places = places.filter("doc_id IS NOT NULL").select("doc_id", "line", F.col("size").cast("int").alias("n_words"), F.col("node").alias("paragraph"))
+    named = places.join(labels.withColumnRenamed("node", "paragraph"), "paragraph", "left").withColumn("component_id", F.coalesce("component", "paragraph"))
     first = (
         named.groupBy("component_id")
         .agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
@@ -243,7 +239,7 @@ def _without(text: str | None, gone: list[int] | None, runs) -> str | None:
         flags[r["from_word"] : r["to_word"]] = b"\1" * (r["to_word"] - r["from_word"])
     out, word = [], 0
     for n, line in enumerate(text.encode().split(b"\n")):
-        starts = [m.start() for m in WORD.finditer(line)]
+        starts = [m.start() for m in TOKEN.finditer(line)]
         own = flags[word : word + len(starts)].ljust(len(starts), b"\0")
         word += len(starts)
         if n in gone or starts and all(own):
