@@ -1,16 +1,18 @@
 """Components of similar sets that share a signature, without listing all pairs of a group.
 
 1. A task reads texts in slices and deals every signature of a slice's different sets (a *node* is
-   a set's hash) in packed blocks to buckets, whose number follows the size of the text.
+   a set's hash) in packed blocks to buckets, whose number follows the size of the text; beside them
+   go the places of the sets and a parity sketch of each set, which never overstates how many
+   elements two sets differ in.
 2. In a bucket, the sets of a signature form a star: its least node is the centre, and the others
-   are paired with it, so a group of n gives n - 1 pairs.  Pairs are packed, dealt by member, and
-   counted: a member's `best` centre shares most of its signatures.
-3. Best pairs are verified by their whole sets, and components are formed; then the stars' pairs
-   that still join two components.
+   are paired with it, so a group of n gives n - 1 pairs.  Pairs are packed, dealt by member and
+   counted.
+3. Pairs that pass the sketch are verified by their whole sets: of each member first the one with
+   the centre that shares most of its signatures; components are formed, and then the pairs that
+   still join two components follow.
 4. What is left are members of one star in different components.  Every pair of a group shares its
-   centre, so each centre's members are compared, tile by tile, by parity sketches, which never
-   overstate the difference of two sets; what passes is verified.  So the components are those of
-   all similar pairs that share a signature.
+   centre, so each centre's members are compared, tile by tile, by their sketches; what passes is
+   verified.  So the components are those of all similar pairs that share a signature.
 
 A star is split over tiles of TILE members; joins that fetch sets have one row per set on one side,
 so that adaptive execution can split the other.  Everything between steps is written to the shared
@@ -42,7 +44,8 @@ U = np.uint64
 Reader = Callable[[list], tuple]
 #: sets -> (signatures, set number of each).
 Signer = Callable[[list], tuple]
-FOUND = "doc_id bigint, line int, size bigint, node bigint, bucket int, block binary"
+#: Rows of a place (kind 0), a node with its sketch (1) and a block of pairs (2).
+FOUND = "kind int, doc_id bigint, line int, size bigint, node bigint, bucket int, block binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,6 +79,8 @@ def _by_bucket(where: np.ndarray, columns: list[np.ndarray]) -> dict[int, list[n
 
 
 SIGNED = (np.uint32, np.uint8, np.int64)
+#: Node, elements, bytes of the sketch.
+MARKED = (np.int64, np.int64, np.int64)
 PLACED = (np.int64, np.uint8, np.int32, np.int64, np.int64)
 
 
@@ -104,7 +109,7 @@ def _empty(kinds: tuple) -> list[np.ndarray]:
 
 
 def dealt(docs: DataFrame, read: Reader, sign: Signer, buckets: int) -> DataFrame:
-    """(bucket, block): the signatures of a slice's different sets, 13 bytes each, and its places."""
+    """(bucket, block): the signatures of a slice's different sets, 13 bytes each, its sketches and its places."""
 
     def rows(batches):
         for batch in batches:
@@ -116,13 +121,18 @@ def dealt(docs: DataFrame, read: Reader, sign: Signer, buckets: int) -> DataFram
                 doc = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)[of].astype(np.int64)
                 use = np.flatnonzero((node >= 0) & known)
                 names, at = np.unique(node[use], return_index=True)
-                keys, owner = sign([sets[i] for i in use[at].tolist()]) if len(use) else (np.empty(0, U), np.empty(0, np.int64))
-                del sets
+                own = [sets[i] for i in use[at].tolist()]
+                keys, owner = sign(own) if own else (np.empty(0, U), np.empty(0, np.int64))
                 signed = _by_bucket((keys % U(buckets)).astype(np.int64), [(keys >> U(32)).astype(np.uint32), ((keys >> U(24)) & U(255)).astype(np.uint8), names[owner]])
+                marks = [sketch(x) for x in own]
+                marked = _by_bucket(names % buckets, [np.arange(len(names))])
                 columns = [doc, known.astype(np.uint8), line.astype(np.int32), size.astype(np.int64), node.astype(np.int64)]
                 placed = _by_bucket((mix(doc.view(U) + U(1)) % U(buckets)).astype(np.int64), columns)
-                where = sorted({*signed, *placed})
-                blocks = [_pack(signed.get(b) or _empty(SIGNED), placed.get(b) or _empty(PLACED)) for b in where]
+                where, blocks = sorted({*signed, *marked, *placed}), []
+                for b in where:
+                    mine = marked[b][0].tolist() if b in marked else []
+                    table = [names[mine], np.array([len(own[i]) for i in mine], np.int64), np.array([len(marks[i]) for i in mine], np.int64)] if mine else _empty(MARKED)
+                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED)))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
         handed_back()
 
@@ -160,39 +170,59 @@ PAIRS = (np.int64, np.int64, np.int64)
 
 
 def swept(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The places (bucket is null), and the stars' pairs in blocks by member."""
+    """The places, each different node's size and sketch, and the stars' pairs in blocks by member."""
 
     def sweep(key, table):
-        (high, low, nodes), (doc, known, line, size, node) = _together(table.column("block"), SIGNED, PLACED)
-        member, centre, n = stars((high.astype(U) << U(8)) | low, nodes)
-        packed = {b: _pack(c) for b, c in _by_bucket(member % buckets, [member, centre, n]).items()}
-        m = len(packed)
+        (high, low, nodes), (name, n, width), (raw,), (doc, known, line, size, node) = _together(table.column("block"), SIGNED, MARKED, (np.uint8,), PLACED)
+        member, centre, shared = stars((high.astype(U) << U(8)) | low, nodes)
+        packed = {b: _pack(c) for b, c in _by_bucket(member % buckets, [member, centre, shared]).items()}
+        end = np.cumsum(width)
+        _, one = np.unique(name, return_index=True)
+        marks = [raw[end[i] - width[i] : end[i]].tobytes() for i in one.tolist()]
+        m, k = len(doc), len(one)
+        rest = k + len(packed)
         own = [
-            pa.array(np.concatenate((doc, np.zeros(m, np.int64))), mask=np.concatenate((known == 0, np.ones(m, bool)))),
-            pa.array(np.concatenate((line, np.zeros(m, np.int32)))),
-            pa.array(np.concatenate((size, np.zeros(m, np.int64)))),
-            pa.array(np.concatenate((node, np.zeros(m, np.int64)))),
-            pa.array([None] * len(doc) + list(packed), pa.int32()),
-            pa.array([None] * len(doc) + list(packed.values()), pa.binary()),
+            pa.array(np.repeat(np.arange(3, dtype=np.int32), (m, k, len(packed)))),
+            pa.array(np.concatenate((doc, np.zeros(rest, np.int64))), mask=np.concatenate((known == 0, np.ones(rest, bool)))),
+            pa.array(np.concatenate((line, np.zeros(rest, np.int32)))),
+            pa.array(np.concatenate((size, n[one], np.zeros(len(packed), np.int64)))),
+            pa.array(np.concatenate((node, name[one], np.zeros(len(packed), np.int64)))),
+            pa.array([None] * (m + k) + list(packed), pa.int32()),
+            pa.array([None] * m + marks + list(packed.values()), pa.binary()),
         ]
         handed_back()
-        return pa.Table.from_arrays(own, ["doc_id", "line", "size", "node", "bucket", "block"])
+        return pa.Table.from_arrays(own, ["kind", "doc_id", "line", "size", "node", "bucket", "block"])
 
     return blocks.groupBy("bucket").applyInArrow(sweep, FOUND)
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(a, b, best): each member with each of its centres."""
+    """(a, b, shared): each member with each of its centres."""
 
     def merge(key, table):
-        ((member, centre, n),) = _together(table.column("block"), PAIRS)
-        member, centre, n = counted(member, centre, n)
-        order = np.lexsort((centre, -n, member))
-        best = np.zeros(len(member), bool)
-        best[order[np.concatenate(([True], member[order][1:] != member[order][:-1]))]] = True
-        return pa.table({"a": member, "b": centre, "best": best})
+        member, centre, n = counted(*_together(table.column("block"), PAIRS)[0])
+        return pa.table({"a": member, "b": centre, "shared": n})
 
-    return found.filter("bucket IS NOT NULL").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, best boolean")
+    return found.filter("kind = 2").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, shared bigint")
+
+
+def passing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their sketches."""
+
+    def close(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(c) for c in ("n", "m", "x", "y"))
+            n, m, keep = n.to_numpy(), m.to_numpy(), np.zeros(batch.num_rows, bool)
+            for i in np.flatnonzero(DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)).tolist():
+                p, q = np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U)
+                width = min(len(p), len(q))
+                p, q = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (p, q))
+                keep[i] = 9 * int(np.bitwise_count(p ^ q).sum()) <= n[i] + m[i]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["a", "b", "shared"]).filter(pa.array(keep))
+
+    own, of = marks.toDF("a", "n", "x"), marks.toDF("b", "m", "y")
+    joined = pairs.join(own, "a").join(of, "b").select("a", "b", "shared", "n", "m", "x", "y")
+    return joined.mapInArrow(close, "a bigint, b bigint, shared bigint")
 
 
 def sets_of(docs: DataFrame, places: DataFrame, nodes: DataFrame, read: Reader) -> DataFrame:
@@ -218,8 +248,10 @@ def sets_of(docs: DataFrame, places: DataFrame, nodes: DataFrame, read: Reader)
     return texts_of(docs).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(rows, "node bigint, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have Jaccard 0.8 or more, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, read: Reader) -> DataFrame:
+    """(a, b): the pairs whose sets have Jaccard 0.8 or more, by their whole sets."""
+
+    pairs = pairs.select("a", "b")
 
     def similar(batches):
         for batch in batches:
@@ -230,33 +262,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    sets = staged(sets_of(docs, places, nodes, read), "sets")
     joined = (
-        pairs.select("a", "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    good = staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint"), "links")
+    dropped(sets)
+    return good
 
 
 def sketch(items: np.ndarray) -> bytes:
     """Parities of the elements in each cell: two sets differ in as many elements as cells, or more."""
     cells = SKETCH_LEAST
-    while cells < min(4 * len(items), SKETCH_MOST):
+    while cells < min(2 * len(items), SKETCH_MOST):
         cells *= 2
     return np.packbits(np.bincount((items & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """(node, n, marks)."""
-
-    def rows(batches):
-        for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), U) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x) for x in own], pa.binary())], ["node", "n", "marks"])
-
-    return sets.select("node", "items").mapInArrow(rows, "node bigint, n bigint, marks binary")
-
-
 def _folded(marks: list[bytes]) -> np.ndarray:
     """Sketches as words, all of the least width: a wide one is folded, as cells are low bits."""
     width, out = min(map(len, marks)), np.empty((len(marks), min(map(len, marks)) // 8), U)
@@ -325,25 +351,26 @@ def linked(docs: DataFrame, read: Reader, sign: Signer, chars: int | None = None
         chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, chars // BUCKET_CHARS)
     found = staged(swept(dealt(docs, read, sign, buckets), buckets), "sweep")
-    places = found.filter("bucket IS NULL").select("doc_id", "line", "size", F.when(F.col("node") >= 0, F.col("node")).alias("node"))
+    places = found.filter("kind = 0").select("doc_id", "line", "size", F.when(F.col("node") >= 0, F.col("node")).alias("node"))
+    marks = found.filter("kind = 1").select("node", F.col("size").alias("n"), F.col("block").alias("marks"))
+    held = places.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     pairs = staged(candidates(found), "pairs")
-    none = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    if pairs.isEmpty():
-        return places, none
-    nodes = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    sets = staged(sets_of(docs, places.filter("node IS NOT NULL"), nodes, read), "sets")
-    good = staged(verified(pairs.filter("best"), sets), "links")
-    labels = staged(components(good), "labels")
-    own = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-    of = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    apart = pairs.filter("NOT best").join(own, "a", "left").join(of, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    more = staged(verified(apart, sets), "links")
-    if not more.isEmpty():
-        good = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        labels = staged(components(good), "labels")
-    close = residual(pairs, labels, sketches(sets))
-    last = staged(verified(close, sets), "links")
-    if not last.isEmpty():
-        labels = staged(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last)), "labels")
-    dropped(sets, pairs, close)
+    close = staged(passing(pairs, marks), "close")
+    best = close.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    labels, none = None, docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+
+    def joined(good: DataFrame) -> DataFrame:
+        if good.isEmpty():
+            return labels or none
+        edges = good if labels is None else good.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return staged(components(edges), "labels")
+
+    labels = joined(verified(best, docs, held, read))
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    apart = close.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").join(a, "a", "left").join(b, "b", "left")
+    apart = apart.filter("tried IS NULL").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    labels = joined(verified(staged(apart, "apart"), docs, held, read))
+    left = residual(pairs, labels, marks)
+    labels = joined(verified(left, docs, held, read))
+    dropped(pairs, close, left)
     return places, labels
