@@ -41,6 +41,7 @@ CELLS = 3
 CACHED_WORDS = 150_000
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
+NO_PRINTS = np.empty(0, U), np.empty(0, np.int64)
 
 
 class Hashes(dict):
@@ -92,7 +93,7 @@ def read_sets(texts: list[bytes | None]) -> tuple:
     sets = shingle_sets(texts)
     n = len(sets)
     node = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 if len(x) else -1 for x in sets), np.int64, n)
-    return np.arange(n), np.zeros(n, np.int32), np.fromiter(map(len, sets), np.int64, n), node, sets
+    return np.arange(n), np.zeros(n, np.int32), np.fromiter(map(len, sets), np.int64, n), node, sets, NO_PRINTS
 
 
 def starts(most: int = 1 << 40) -> np.ndarray:
@@ -186,7 +187,7 @@ def part_enum(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) for every row; n_copies: rows with an equal set, itself included."""
-    places, labels = linked(docs, read_sets, part_enum)
+    places, labels, _ = linked(docs, read_sets, part_enum)
     own = places.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     # a doc_id whose rows differ joins their sets
     same = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")

@@ -40,12 +40,12 @@ SLICE = 2 << 20
 TILE, TILES_A_GROUP = 2048, 8
 SKETCH_LEAST, SKETCH_MOST = 256, 1 << 15
 U = np.uint64
-#: texts -> (text number, line, size, node or -1, set or None) of every place.
+#: texts -> (text number, line, size, node or -1, set) of every place, and (print, text number) of every print.
 Reader = Callable[[list], tuple]
 #: sets -> (signatures, set number of each).
 Signer = Callable[[list], tuple]
-#: Rows of a place (kind 0), a node with its sketch (1) and a block of pairs (2).
-FOUND = "kind int, doc_id bigint, line int, size bigint, node bigint, bucket int, block binary"
+#: Rows of a place (kind 0), a node with its sketch (1), a block of pairs (2) and one of prints (3).
+FOUND = "kind int, doc_id bigint, th bigint, line int, size bigint, node bigint, bucket int, block binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def _by_bucket(where: np.ndarray, columns: list[np.ndarray]) -> dict[int, list[n
 SIGNED = (np.uint32, np.uint8, np.int64)
 #: Node, elements, bytes of the sketch.
 MARKED = (np.int64, np.int64, np.int64)
-PLACED = (np.int64, np.uint8, np.int32, np.int64, np.int64)
+PLACED = (np.int64, np.uint8, np.int64, np.int32, np.int64, np.int64)
 
 
 def _pack(*tables: list[np.ndarray]) -> bytes:
@@ -108,31 +108,51 @@ def _empty(kinds: tuple) -> list[np.ndarray]:
     return [np.empty(0, k) for k in kinds]
 
 
+def _short(keys: np.ndarray) -> list[np.ndarray]:
+    """The upper 40 bits of keys."""
+    return [(keys >> U(32)).astype(np.uint32), ((keys >> U(24)) & U(255)).astype(np.uint8)]
+
+
+def _long(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(U) << U(8)) | low
+
+
+def text_hash(text: bytes | None) -> int:
+    """Spark's xxhash64 of a text."""
+    import xxhash
+
+    h = 42 if text is None else xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def dealt(docs: DataFrame, read: Reader, sign: Signer, buckets: int) -> DataFrame:
-    """(bucket, block): the signatures of a slice's different sets, 13 bytes each, its sketches and its places."""
+    """(bucket, block): the signatures of a slice's different sets, 13 bytes each, its sketches, places and prints."""
 
     def rows(batches):
         for batch in batches:
             ids = batch.column(0)
             for first, texts in text_slices(batch):
-                of, line, size, node, sets = read(texts)
+                of, line, size, node, sets, (prints, printed) = read(texts)
                 doc = ids.slice(first, len(texts))
-                known = doc.is_valid().to_numpy(zero_copy_only=False)[of]
-                doc = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)[of].astype(np.int64)
+                valid, doc = doc.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(doc, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                prints, printed = prints[valid[printed]], doc[printed[valid[printed]]]
+                printed = _by_bucket((prints % U(buckets)).astype(np.int64), [*_short(prints), printed])
+                th = np.fromiter(map(text_hash, texts), np.int64, len(texts))
+                known, doc, th = valid[of], doc[of], th[of]
                 use = np.flatnonzero((node >= 0) & known)
                 names, at = np.unique(node[use], return_index=True)
                 own = [sets[i] for i in use[at].tolist()]
                 keys, owner = sign(own) if own else (np.empty(0, U), np.empty(0, np.int64))
-                signed = _by_bucket((keys % U(buckets)).astype(np.int64), [(keys >> U(32)).astype(np.uint32), ((keys >> U(24)) & U(255)).astype(np.uint8), names[owner]])
+                signed = _by_bucket((keys % U(buckets)).astype(np.int64), [*_short(keys), names[owner]])
                 marks = [sketch(x) for x in own]
                 marked = _by_bucket(names % buckets, [np.arange(len(names))])
-                columns = [doc, known.astype(np.uint8), line.astype(np.int32), size.astype(np.int64), node.astype(np.int64)]
+                columns = [doc, known.astype(np.uint8), th, line.astype(np.int32), size.astype(np.int64), node.astype(np.int64)]
                 placed = _by_bucket((mix(doc.view(U) + U(1)) % U(buckets)).astype(np.int64), columns)
-                where, blocks = sorted({*signed, *marked, *placed}), []
+                where, blocks = sorted({*signed, *marked, *placed, *printed}), []
                 for b in where:
                     mine = marked[b][0].tolist() if b in marked else []
                     table = [names[mine], np.array([len(own[i]) for i in mine], np.int64), np.array([len(marks[i]) for i in mine], np.int64)] if mine else _empty(MARKED)
-                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED)))
+                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED), printed.get(b) or _empty(SIGNED)))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
         handed_back()
 
@@ -166,6 +186,19 @@ def counted(member: np.ndarray, centre: np.ndarray, n: np.ndarray) -> tuple[np.n
     return member[starts], centre[starts], np.add.reduceat(n, starts)
 
 
+def again(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of the keys that stand twice or more."""
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+    hit = twice[at] == keys if len(twice) else np.zeros(len(keys), bool)
+    return docs[hit], keys[hit]
+
+
+def _dealt_again(columns: tuple, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    return (mix(columns[0].view(U)) % U(buckets)).astype(np.int64), list(columns)
+
+
 PAIRS = (np.int64, np.int64, np.int64)
 
 
@@ -173,25 +206,28 @@ def swept(blocks: DataFrame, buckets: int) -> DataFrame:
     """The places, each different node's size and sketch, and the stars' pairs in blocks by member."""
 
     def sweep(key, table):
-        (high, low, nodes), (name, n, width), (raw,), (doc, known, line, size, node) = _together(table.column("block"), SIGNED, MARKED, (np.uint8,), PLACED)
-        member, centre, shared = stars((high.astype(U) << U(8)) | low, nodes)
-        packed = {b: _pack(c) for b, c in _by_bucket(member % buckets, [member, centre, shared]).items()}
+        parts = _together(table.column("block"), SIGNED, MARKED, (np.uint8,), PLACED, SIGNED)
+        (high, low, nodes), (name, n, width), (raw,), (doc, known, th, line, size, node), (*prints, printed) = parts
+        packed = _by_bucket(*_dealt_again(stars(_long(high, low), nodes), buckets))
+        twice = _by_bucket(*_dealt_again(again(_long(*prints), printed), buckets))
         end = np.cumsum(width)
         _, one = np.unique(name, return_index=True)
         marks = [raw[end[i] - width[i] : end[i]].tobytes() for i in one.tolist()]
         m, k = len(doc), len(one)
-        rest = k + len(packed)
+        where, blocks_ = [*packed, *twice], [_pack(c) for c in (*packed.values(), *twice.values())]
+        rest = k + len(where)
         own = [
-            pa.array(np.repeat(np.arange(3, dtype=np.int32), (m, k, len(packed)))),
+            pa.array(np.repeat(np.arange(4, dtype=np.int32), (m, k, len(packed), len(twice)))),
             pa.array(np.concatenate((doc, np.zeros(rest, np.int64))), mask=np.concatenate((known == 0, np.ones(rest, bool)))),
+            pa.array(np.concatenate((th, np.zeros(rest, np.int64)))),
             pa.array(np.concatenate((line, np.zeros(rest, np.int32)))),
-            pa.array(np.concatenate((size, n[one], np.zeros(len(packed), np.int64)))),
-            pa.array(np.concatenate((node, name[one], np.zeros(len(packed), np.int64)))),
-            pa.array([None] * (m + k) + list(packed), pa.int32()),
-            pa.array([None] * m + marks + list(packed.values()), pa.binary()),
+            pa.array(np.concatenate((size, n[one], np.zeros(len(where), np.int64)))),
+            pa.array(np.concatenate((node, name[one], np.zeros(len(where), np.int64)))),
+            pa.array([None] * (m + k) + where, pa.int32()),
+            pa.array([None] * m + marks + blocks_, pa.binary()),
         ]
         handed_back()
-        return pa.Table.from_arrays(own, ["kind", "doc_id", "line", "size", "node", "bucket", "block"])
+        return pa.Table.from_arrays(own, ["kind", "doc_id", "th", "line", "size", "node", "bucket", "block"])
 
     return blocks.groupBy("bucket").applyInArrow(sweep, FOUND)
 
@@ -206,6 +242,20 @@ def candidates(found: DataFrame) -> DataFrame:
     return found.filter("kind = 2").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, shared bigint")
 
 
+def repeated_prints(found: DataFrame) -> DataFrame:
+    """(doc_id, prints): the prints of a document that stand twice or more in all documents, 40 bits each."""
+
+    def merge(key, table):
+        ((doc, print_),) = _together(table.column("block"), (np.int64, U))
+        order = np.argsort(doc, kind="stable")
+        doc, print_ = doc[order], print_[order]
+        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))).tolist()
+        lists = [np.unique(print_[lo:hi]).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"doc_id": doc[cuts[:-1]], "prints": pa.array(lists, pa.binary())})
+
+    return found.filter("kind = 3").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "doc_id bigint, prints binary")
+
+
 def passing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs that may be similar by their sketches."""
 
@@ -234,7 +284,7 @@ def sets_of(docs: DataFrame, places: DataFrame, nodes: DataFrame, read: Reader)
         for batch in batches:
             own = batch.column(2)
             for first, texts in text_slices(batch):
-                of, _, _, node, sets = read(texts)
+                of, _, _, node, sets, _ = read(texts)
                 names, items, seen = [], [], set()
                 asked = [set(own[first + i].as_py()) for i in range(len(texts))]
                 for i, (t, x) in enumerate(zip(of.tolist(), node.tolist(), strict=True)):
@@ -343,15 +393,16 @@ def residual(pairs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame
     return out
 
 
-def linked(docs: DataFrame, read: Reader, sign: Signer, chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Places (doc_id, line, size, node) of every text, node null for an empty set, and the (node,
-    component) of nodes that are linked with others; places of null doc_ids link nothing."""
+def linked(docs: DataFrame, read: Reader, sign: Signer, chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places (doc_id, th, line, size, node) of every text, node null for an empty set and th the text's
+    hash; the (node, component) of nodes that are linked with others; and the documents' repeated
+    prints.  Places of null doc_ids link nothing."""
     docs = docs.select("doc_id", "text")
     if chars is None:
         chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, chars // BUCKET_CHARS)
     found = staged(swept(dealt(docs, read, sign, buckets), buckets), "sweep")
-    places = found.filter("kind = 0").select("doc_id", "line", "size", F.when(F.col("node") >= 0, F.col("node")).alias("node"))
+    places = found.filter("kind = 0").select("doc_id", "th", "line", "size", F.when(F.col("node") >= 0, F.col("node")).alias("node"))
     marks = found.filter("kind = 1").select("node", F.col("size").alias("n"), F.col("block").alias("marks"))
     held = places.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     pairs = staged(candidates(found), "pairs")
@@ -373,4 +424,4 @@ def linked(docs: DataFrame, read: Reader, sign: Signer, chars: int | None = None
     left = residual(pairs, labels, marks)
     labels = joined(verified(left, docs, held, read))
     dropped(pairs, close, left)
-    return places, labels
+    return places, labels, repeated_prints(found)

@@ -9,8 +9,8 @@ others go.  Sweeps, verification and components are those of the n-gram join.
 
 Then every run of SPAN words or more, across line ends, that stands verbatim at an earlier place, by
 doc_id and word, is cut as a span.  A window is SPAN words of which some are left by the paragraphs;
-the least hash of its GRAM-word grams is its fingerprint, so equal windows have equal ones.  Only the
-windows of fingerprints that stand at several places are dealt out, by the hash of their words; each
+the least hash of its GRAM-word grams is its fingerprint, so equal windows have equal ones; they are
+read along with the paragraphs.  Only the windows of fingerprints that stand at several places are dealt out, by the hash of their words; each
 but the first of its hash is cut, so no run is missed whatever surrounds it.
 
 Defined cases: null, empty and short lines are never paragraphs; a document with a null doc_id keeps
@@ -21,6 +21,7 @@ like any other.  Rows of one doc_id and text are one document for spans, cut in
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import dropped, staged, worker_cache
-from quire.llm.ngram_join import WORDS, Hashes, hashed_words, shingles
-from quire.llm.stars import linked, mix
+from quire.llm.common import handed_back, staged
+from quire.llm.ngram_join import NO_PRINTS, WORDS, hashed_words, shingles
+from quire.llm.stars import linked, mix, text_slices
 
 MIN_WORDS = 10
 SIMILAR = 0.8
@@ -79,8 +80,8 @@ def _summed(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     return total[places[1:]] - total[places[:-1]]
 
 
-def read_paragraphs(texts: list[bytes | None]) -> tuple:
-    """A place for each line of MIN_WORDS words or more, named by a hash of its words in turn."""
+def _lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the texts' words in turn; the words of each line, its text and its number there."""
     lines, of, nth = [], [], []
     for i, text in enumerate(texts):
         if text:
@@ -89,13 +90,19 @@ def read_paragraphs(texts: list[bytes | None]) -> tuple:
             of += [i] * len(own)
             nth += range(len(own))
     h, places = hashed_words(lines)
+    return h, places, np.array(of, np.int64), np.array(nth, np.int32)
+
+
+def read_paragraphs(texts: list[bytes | None]) -> tuple:
+    """A place for each line of MIN_WORDS words or more, named by a hash of its words in turn, and the
+    texts' fingerprints."""
+    h, places, of, nth = _lines(texts)
     n = np.diff(places)
     at = np.arange(len(h)) - np.repeat(places[:-1], n)
     node = (mix(_summed(mix(h + mix(at.astype(U) + U(1))), places) + n.astype(U)) >> U(1)).astype(np.int64)
     use = np.flatnonzero(n >= MIN_WORDS)
-    kept = np.repeat(n >= MIN_WORDS, n)
-    sets = _Sets(shingles(h[kept]), np.concatenate(([0], np.cumsum(n[use]))))
-    return np.array(of, np.int64)[use], np.array(nth, np.int32)[use], n[use], node[use], sets
+    sets = _Sets(shingles(h[np.repeat(n >= MIN_WORDS, n)]), np.concatenate(([0], np.cumsum(n[use]))))
+    return of[use], nth[use], n[use], node[use], sets, _prints(h, np.repeat(of, n))
 
 
 def _widened(x: np.ndarray, width: int, joined) -> np.ndarray:
@@ -112,48 +119,51 @@ def _hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * C + b)
 
 
-def _windows(data: bytes, gone: list[int] | None):
-    """(grams, windows' hashes, their fingerprints, whether some words of theirs are left, lines of
-    the words); None for fewer than SPAN words."""
-    lower = data.lower()
-    own = lower.split()
-    if len(own) < SPAN:
-        return None
-    h = np.fromiter(map(worker_cache("hashes", Hashes).__getitem__, own), U, len(own))
-    counts = [len(line.split()) for line in lower.split(b"\n")]
-    line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+def _windows(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words in turn: the grams at each, and of the SPAN words from each on their hash, their
+    fingerprint (the least gram), and whether they are all of one text."""
     grams = _widened(h, GRAM, _hashed)
-    whole = _hashed(grams[: len(grams) - (SPAN - GRAM)], grams[SPAN - GRAM :])
-    least = _widened(grams, SPAN - GRAM + 1, np.minimum)
-    left = np.cumsum(np.concatenate(([0], ~np.isin(line, gone or []))))
-    return grams, whole, least, left[SPAN:] > left[:-SPAN], line
+    whole = _hashed(grams[: max(0, len(grams) - (SPAN - GRAM))], grams[SPAN - GRAM :])
+    return grams, whole, _widened(grams, SPAN - GRAM + 1, np.minimum), text[: max(0, len(text) - SPAN + 1)] == text[SPAN - 1 :]
 
 
-def _prints(batches):
-    """(fp, _id, _th, n): a document's fingerprints, and at how many places of it each stands."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for own_id, th, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            if (found := _windows(text.as_py(), gone)) is None:
-                continue
-            grams, _, least, some, _ = found
-            ends = np.zeros(SPAN - GRAM, U)
-            most = _widened(np.concatenate((ends, np.where(some, least, U(0)), ends)), SPAN - GRAM + 1, np.maximum)
-            fp, n = np.unique(grams[grams == most], return_counts=True)
-            for column, value in zip(out, (fp.view(np.int64), np.full(len(fp), own_id), np.full(len(fp), th), n), strict=True):
-                column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["fp", "_id", "_th", "n"])
+def _prints(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, text) of every place at which some window has its fingerprint."""
+    if len(h) < SPAN:
+        return NO_PRINTS
+    grams, _, least, inside = _windows(h, text)
+    ends = np.zeros(SPAN - GRAM, U)
+    most = _widened(np.concatenate((ends, np.where(inside, least, U(0)), ends)), SPAN - GRAM + 1, np.maximum)
+    at = np.flatnonzero(grams == most)
+    return grams[at], text[at]
 
 
 def _places(batches):
-    """(window, _id, _th, at, line) of the windows with one of the document's fingerprints `fps`."""
+    """(window, _id, _th, at, line) of the windows with a repeated fingerprint and words that are left."""
     for batch in batches:
-        for own_id, th, text, gone, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
-            _, whole, least, some, line = _windows(text.as_py(), gone)
-            at = np.flatnonzero(some & np.isin(least.view(np.int64), fps.values.to_numpy()))
-            columns = (whole[at].view(np.int64), np.full(len(at), own_id), np.full(len(at), th), at, line[at].astype(np.int64))
+        prints, gone = batch.column(3), batch.column(4)
+        for first, texts in text_slices(batch):
+            h, places, of, nth = _lines(texts)
+            if len(h) < SPAN:
+                continue
+            n = np.diff(places)
+            text, line = np.repeat(of, n), np.repeat(nth, n)
+            _, whole, least, inside = _windows(h, text)
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            left, hit = np.ones(len(h), bool), np.zeros(len(whole), bool)
+            for i, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+                if hi - lo >= SPAN:
+                    if (lines := gone[first + i].as_py()) is not None:
+                        left[lo:hi] = ~np.isin(line[lo:hi], lines)
+                    known = np.frombuffer(prints[first + i].as_buffer(), U)
+                    hit[lo : hi - SPAN + 1] = np.isin(least[lo : hi - SPAN + 1] >> U(24), known)
+            total = np.concatenate(([0], np.cumsum(left)))
+            at = np.flatnonzero(hit & inside & (total[SPAN:] > total[:-SPAN]))
+            own = text[at]
+            ids, th = (batch.column(c).slice(first, len(texts)).to_numpy()[own] for c in (0, 2))
+            columns = (whole[at].view(np.int64), ids, th, at - np.array(cuts)[own], line[at].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["window", "_id", "_th", "at", "line"])
+    handed_back()
 
 
 def _key(docs: DataFrame) -> list:
@@ -161,19 +171,15 @@ def _key(docs: DataFrame) -> list:
 
 
 def _gone(lines: DataFrame) -> DataFrame:
-    return lines.filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    return lines.filter("removed").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone"))
 
 
-def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, lines: DataFrame, prints: DataFrame) -> DataFrame:
     """(_id, _th, line, from_word, to_word, first, component_id) of the runs to cut: words from_word up to
-    to_word of the document; `lines` are its removed paragraphs."""
+    to_word of the document; `lines` are its removed paragraphs, `prints` its repeated fingerprints."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(*_key(docs), F.col("text").cast("binary").alias("text"))
-    texts = staged(texts.join(_gone(lines), "_id", "left").select("_id", "_th", "text", "_gone"), "texts")
-    prints = staged(texts.mapInArrow(_prints, "fp bigint, _id bigint, _th bigint, n bigint"), "prints")
-    repeated = staged(prints.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "repeated")
-    wanted = prints.join(repeated, "fp", "left_semi").groupBy("_id", "_th").agg(F.collect_set("fp").alias("fps"))
-    found = texts.join(wanted, ["_id", "_th"]).select("_id", "_th", "text", "_gone", "fps")
-    places = staged(found.mapInArrow(_places, "window bigint, _id bigint, _th bigint, at bigint, line bigint"), "windows")
+    found = texts.join(prints.withColumnRenamed("doc_id", "_id"), "_id").join(_gone(lines), ["_id", "_th"], "left")
+    places = staged(found.select("_id", "text", "_th", "prints", "_gone").mapInArrow(_places, "window bigint, _id bigint, _th bigint, at bigint, line bigint"), "windows")
     first = places.groupBy("window").agg(F.min(F.struct("_id", "_th", "at", "line")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("window", "o")
     later = (
         places.join(staged(first, "first"), "window")
@@ -192,22 +198,23 @@ def spans(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n_words, component_id, first_doc_id, first_line, removed) of every paragraph
-    that occurs more than once, exactly or nearly."""
-    places, labels = linked(docs, read_paragraphs, min_hash_bands)
-    places = places.filter("doc_id IS NOT NULL").select("doc_id", "line", F.col("size").cast("int").alias("n_words"), F.col("node").alias("paragraph"))
+def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, line, n_words, component_id, first_doc_id, first_line, removed) of every paragraph
+    that occurs more than once, exactly or nearly; and the documents' repeated fingerprints."""
+    places, labels, prints = linked(docs, read_paragraphs, min_hash_bands)
+    places = places.filter("doc_id IS NOT NULL").select("doc_id", "th", "line", F.col("size").cast("int").alias("n_words"), F.col("node").alias("paragraph"))
     named = places.join(labels.withColumnRenamed("node", "paragraph"), "paragraph", "left").withColumn("component_id", F.coalesce("component", "paragraph"))
     first = (
         named.groupBy("component_id")
-        .agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
     )
-    out = named.join(first, "component_id").withColumn("_at_first", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
+    out = named.join(first, "component_id").withColumn("_at_first", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line")))
     # repeated rows of one document stand at the same place: one of them is the first
-    nth = F.row_number().over(W.partitionBy("component_id", "doc_id", "line").orderBy("paragraph"))
-    return out.select(
+    nth = F.row_number().over(W.partitionBy("component_id", "doc_id", "th", "line").orderBy("paragraph"))
+    out = out.select(
         "doc_id",
+        "th",
         "line",
         "n_words",
         "component_id",
@@ -215,19 +222,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         F.col("first.line").alias("first_line"),
         (~F.col("_at_first") | (nth > 1)).alias("removed"),
     )
+    return staged(out, "lines"), prints
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n_words, component_id, first_doc_id, first_line, removed, from_word, to_word, cut):
     the repeated paragraphs, of which the `removed` go as whole lines, and the spans, which are `cut`:
     the words from_word up to to_word go, the first of them on `line`."""
-    lines = staged(repeated_lines(docs), "lines")
-    runs = spans(docs, lines).select(
+    lines, prints = repeated_lines(docs)
+    runs = spans(docs, lines, prints).select(
         F.col("_id").alias("doc_id"), "line", (F.col("to_word") - F.col("from_word")).cast("int").alias("n_words"), "component_id",
         F.col("first._id").alias("first_doc_id"), F.col("first.line").cast("int").alias("first_line"), F.lit(False).alias("removed"), "from_word", "to_word", F.lit(True).alias("cut"),
     )
     none = F.lit(None).cast("long")
-    return lines.select("*", none.alias("from_word"), none.alias("to_word"), F.lit(False).alias("cut")).unionByName(runs)
+    return lines.drop("th").select("*", none.alias("from_word"), none.alias("to_word"), F.lit(False).alias("cut")).unionByName(runs)
 
 
 def _without(text: str | None, gone: list[int] | None, runs) -> str | None:
@@ -252,11 +260,11 @@ def _without(text: str | None, gone: list[int] | None, runs) -> str | None:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """docs with the removed paragraphs and the spans cut from `text`; rows that share a doc_id lose the same lines."""
-    lines = staged(repeated_lines(docs), "lines")
-    runs = spans(docs, lines).groupBy("_id", "_th").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_runs"))
+    """docs with the removed paragraphs and the spans cut from `text`; rows that share a doc_id and text lose the same lines."""
+    lines, prints = repeated_lines(docs)
+    runs = spans(docs, lines, prints).groupBy("_id", "_th").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_runs"))
     names = docs.columns
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key(docs)).join(_gone(lines), "_id", "left").join(runs, ["_id", "_th"], "left")
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key(docs)).join(_gone(lines), ["_id", "_th"], "left").join(runs, ["_id", "_th"], "left")
     split = F.split(F.col("_row.text"), "\n", -1)
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     cut = F.udf(_without, "string")(F.when(F.col("_runs").isNotNull(), F.col("_row.text")), "_gone", "_runs")
