@@ -19,19 +19,23 @@ from __future__ import annotations
 import itertools
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import coded_words, handed_back, staged, worker_cache
+from quire.llm.common import handed_back, staged, worker_cache
 
 LIMIT = 4096
 END = 1
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 600_000
+#: Words of letters encoded at a time.
+TOGETHER = 200
 #: Bytes of text handled at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 BUCKET_ROWS = 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -46,56 +50,81 @@ class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words, which are cached.  Texts in which that could differ are encoded whole: those with
-    special tokens' brackets.  ASCII capitals are folded first, except beside combining marks."""
+    words, which are kept: their bytes in one column, their ids in another.  ASCII capitals are folded
+    first, except beside combining marks, and a mark behind an ASCII letter at a word's end becomes a word
+    of its own, as it is for the tokenizer.  Words of letters are encoded many at a time; each
+    gives one id that ends a word, and where the count differs (a letter whose lower case is no
+    letter), they are encoded one by one.  Texts with special tokens' brackets are encoded whole."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """A word of letters with one mark behind it is encoded as two."""
-        if len(word) > 1 and word[-1] in b".,;:!?":
-            core = word[:-1].decode("utf-8", "replace")
-            if core.isalpha() and max(core) < "ɐ":
-                return word[:-1], word[-1:]
-        return (word,)
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in self.known})
-        found = dict(zip(new, self._encode([w.decode("utf-8", "replace") for w in new]), strict=True))
-        ids = {w: b"".join([found[p] if p in found else self.known[p] for p in ps]) for w, ps in parts.items()}
-        if len(self.known) < self.most:
-            self.known |= found | ids
-        return ids
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words, self.ids, self.places = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._encode(words)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens.sum())), lens
+
+    def _learned(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in turn, and how many each has."""
+        letters = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        words, n = new.take(pa.array(order)).to_pylist(), int(letters.sum())
+        groups = [words[k : k + TOGETHER] for k in range(0, n, TOGETHER) if k < n]
+        if groups:
+            groups[-1] = groups[-1][: n - TOGETHER * (len(groups) - 1)]
+        parts = []
+        for own, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            parts.append((ids, np.diff(ends, prepend=-1)) if len(ends) == len(own) else self._one_by_one(own))
+        parts.append(self._one_by_one(words[n:]))
+        ids, lens = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        back = np.argsort(order)
+        starts = np.cumsum(lens) - lens
+        return _gathered(ids, starts[back], lens[back]), lens[back]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
-
-        whole = {i: self._encode([t.decode("utf-8", "replace")])[0] for i, t in enumerate(texts) if b"<|" in t}
+        whole = {i for i, t in enumerate(texts) if b"<|" in t}
         plain = [b"" if i in whole else t if b"\xcc" in t or b"\xcd" in t else t.lower() for i, t in enumerate(texts)]
-        words, numbers, places = coded_words(plain)
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            new = self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
-            ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
-        own = lens[numbers]
-        ends = np.concatenate(([0], np.cumsum(own)))
-        data = flat[np.repeat(starts[numbers] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
-        cuts = 4 * ends[places]
-        return [whole.get(i) or data[a:b] for i, (a, b) in enumerate(itertools.pairwise(cuts.tolist()))]
+        try:
+            column = pa.array(plain, pa.string())
+        except (pa.ArrowInvalid, UnicodeDecodeError):
+            column = pa.array([t.decode("utf-8", "replace") for t in plain], pa.string())
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(column, r"([a-z])([.,;:!?])(\s|$)", r"\1 \2\3"))
+        coded, places = lists.values.dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(coded.dictionary, self.words), -1).to_numpy().astype(np.int64)
+        ids, starts = self.ids, self.places
+        if len(missing := np.flatnonzero(at < 0)):
+            new = coded.dictionary.take(pa.array(missing))
+            more, lens = self._learned(new)
+            at[missing] = len(self.words) + np.arange(len(missing))
+            ids = np.concatenate([ids, more])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum(lens)])
+            if len(self.words) + len(new) <= self.most:
+                self.words, self.ids, self.places = pa.concat_arrays([self.words, new]), ids, starts
+        own = at[coded.indices.to_numpy()]
+        lens = np.diff(starts)[own]
+        cuts = 4 * np.concatenate(([0], np.cumsum(lens)))[places]
+        data = _gathered(ids, starts[own], lens).astype("<u4").tobytes()
+        out = [data[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+        for i in whole:
+            out[i] = np.array(self._encode([texts[i].decode("utf-8", "replace")])[0], "<u4").tobytes()
+        return out
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The pieces of flat from starts on, one behind the other."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _encoder(path: str) -> WordEncoder:
