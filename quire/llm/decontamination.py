@@ -10,9 +10,10 @@
 4. A candidate leaks if the longest common subsequence of words covers SURE of the item, or MAYBE of
    it and as much of its answer, which is the item's last sentence.
 
-What reaches the driver or every executor is bounded by the benchmark: its vocabulary times the
-rank.  More than RANK benchmark passages are split into groups of at most RANK, each with a latent
-space of its own, made by steps 2 and 3 on its own.  Terms that more than COMMON of all passages hold weigh nothing, but for each item's four
+The texts are split once; the passes read their words' term numbers.  More than RANK benchmark
+passages are split into groups of at most RANK, each with a latent space of its own, made by steps
+2 and 3 on its own, so what reaches the driver or every executor at a time is bounded by RANK,
+PASSAGE and AT_ONCE; the items themselves and their terms are the benchmark's size.  Terms that more than COMMON of all passages hold weigh nothing, but for each item's four
 rarest.  Words are compared with ASCII capitals folded and ASCII punctuation removed.  With no
 more passages than RANK a group's latent space holds each one's vector.
 
@@ -23,6 +24,7 @@ each document row; an empty benchmark matches nothing; a null doc_id is kept as
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import coded_words, worker_cache
+from quire.llm.common import dropped, staged, worker_cache
 
 PASSAGE = 64
 STEP = 32
@@ -46,6 +48,8 @@ OWN = 25.0
 #: idf, as a share of the highest, at which words outside the benchmark count in a window's norm.
 OUTSIDE = 0.6
 CHUNK = 64
+#: Groups of items searched at a time.
+AT_ONCE = 4
 #: Bytes of text, and words or windows with their latent vectors, handled at a time.
 SLICE, BLOCK = 2 << 20, 16_384
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -77,12 +81,58 @@ def items_of(rows) -> list[Item]:
     return out
 
 
-def _batch_ids(column, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of a batch's words (0: not in the benchmark), and each text's number of words."""
-    texts = [(t.as_py() or b"").lower().translate(None, PUNCTUATION) for t in column]
-    own, numbers, places = coded_words(texts)
-    known = np.fromiter(map(vocabulary.get, own, itertools.repeat(0)), np.int32, len(own))
-    return known[numbers], np.diff(places)
+def _kind(vocabulary) -> type:
+    return np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
+
+
+class Terms:
+    """Term numbers of words: 0 for those that the benchmark doesn't hold."""
+
+    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+        self.words = pa.array(sorted(vocabulary, key=vocabulary.get), pa.binary())
+        self.kind = _kind(vocabulary)
+
+    def of(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Of a column of texts: the numbers of their words in turn, and each text's number of words."""
+        texts = [(t.as_py() or b"").lower().translate(None, PUNCTUATION) for t in column]
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()) if _valid(texts) else pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
+        coded, places = lists.values.dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+        own = coded.dictionary.cast(pa.binary())
+        known = (pc.fill_null(pc.index_in(own, self.words), -1).to_numpy() + 1).astype(self.kind)
+        numbers = coded.indices.to_numpy()
+        filled = pc.binary_length(own).to_numpy() > 0
+        if not filled.all():  # before a leading and behind a trailing space
+            keep = filled[numbers]
+            places, numbers = np.concatenate(([0], np.cumsum(keep)))[places], numbers[keep]
+        return known[numbers], np.diff(places)
+
+
+def _valid(texts: list[bytes]) -> bool:
+    try:
+        b"\n".join(texts).decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def numbered(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(doc_id, terms): every text's words as term numbers.  The texts are split here, once; the passes
+    that follow read the numbers."""
+
+    def rows(batches):
+        terms = Terms(vocabulary)
+        for batch in _slices(batches, 1):
+            ids, lens = terms.of(batch.column(1))
+            ends = np.cumsum(lens).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in itertools.pairwise([0, *ends])], pa.binary())], ["doc_id", "terms"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id bigint, terms binary")
+
+
+def _read(batch, column: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and words of each text, from a batch of `numbered`; as numbers of a group by `group`."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(column)]
+    return (np.concatenate(parts) if parts else np.empty(0, kind)), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def _cells(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,27 +154,25 @@ def _slices(batches, column: int = 0):
             yield batch.slice(lo, hi - lo)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("binary").alias("text"))
-
-
-def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Passages with each term, and passages; over all documents."""
+def frequencies(texts: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """Passages with each term, and passages; over all `numbered` texts."""
+    kind = _kind(range(terms))
 
     def counted(batches):
-        n = len(vocabulary) + 1
+        n = terms + 1
         counts, total = np.zeros(n, np.int64), 0
-        for batch in _slices(batches):
-            ids, lens = _batch_ids(batch.column(0), vocabulary)
+        for batch in _slices(batches, 1):
+            ids, lens = _read(batch, 1, kind)
             cells, _ = _cells(lens, PASSAGE)
             total += int((-(-lens // PASSAGE)).sum())
-            counts += np.bincount(np.unique(cells[ids > 0] * n + ids[ids > 0]) % n, minlength=n)
+            hit = np.flatnonzero(ids)
+            counts += np.bincount(np.unique(cells[hit] * n + ids[hit]) % n, minlength=n)
         counts[0] = total
-        terms = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts[terms], pa.int64())], ["term", "n"])
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["term", "n"])
 
-    rows = _texts(docs).mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
+    rows = texts.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(terms + 1, np.int64)
     for r in rows:  # a row per benchmark term
         out[r["term"]] = r["n"]
     return out, int(out[0])
@@ -157,8 +205,9 @@ def _gram(cell: np.ndarray, term: np.ndarray, w: np.ndarray, omega: np.ndarray,
     out[t[begins]] += np.add.reduceat(z[row[order]] * w[order][:, None], begins)
 
 
-def latent(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int], weights: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of the TF-IDF passages: terms x rank."""
+def latent(texts: DataFrame, group: np.ndarray, items: list[Item], vocabulary: dict[bytes, int], weights: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors of the TF-IDF passages: terms x rank.  group: the group's number of every term."""
+    kind = _kind(range(len(group) - 1))
     live = np.flatnonzero(weights > 0)
     place = np.zeros(len(weights), np.int64)
     place[live] = np.arange(len(live))
@@ -168,9 +217,9 @@ def latent(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int], wei
         omega = np.zeros((len(weights), width), np.float32)
         omega[live] = _gauss(len(live), width)
         out = np.zeros_like(omega)
-        for batch in _slices(batches):
-            ids, lens = _batch_ids(batch.column(0), vocabulary)
-            cells, _ = _cells(lens, PASSAGE)
+        for batch in _slices(batches, 1):
+            ids, lens = _read(batch, 1, kind)
+            ids, (cells, _) = group[ids], _cells(lens, PASSAGE)
             cell, term, w = _tfidf(ids, cells, weights)
             begins = np.flatnonzero(np.diff(cell, prepend=-1))
             for own in np.split(np.arange(len(cell)), begins[:: max(1, BLOCK // PASSAGE)]):
@@ -186,8 +235,8 @@ def latent(docs: DataFrame, items: list[Item], vocabulary: dict[bytes, int], wei
                 total[chunk] = total.get(chunk, 0) + np.frombuffer(y, np.float32).reshape(-1, width).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([y.tobytes() for y in total.values()], pa.binary())], ["chunk", "y"])
 
-    kind = "chunk bigint, y binary"
-    parts = _texts(docs).mapInArrow(sketched, kind).repartition("chunk").mapInArrow(summed, kind).collect()  # terms x rank
+    sums = "chunk bigint, y binary"
+    parts = texts.mapInArrow(sketched, sums).repartition("chunk").mapInArrow(summed, sums).collect()  # terms x rank
     y = np.zeros((len(live), width))
     for r in parts:
         y[r["chunk"] : r["chunk"] + CHUNK] = np.frombuffer(r["y"], np.float64).reshape(-1, width)
@@ -240,14 +289,16 @@ class Index:
     items: list[Item]
     vectors: np.ndarray
     outside: float
+    #: The group's number of every term of the benchmark.
+    group: np.ndarray
 
     def __post_init__(self) -> None:
         self.whole = [Lcs([self.vocabulary[w] for w in x.words]) for x in self.items]
         self.answers = [Lcs([self.vocabulary[w] for w in x.words[x.answer :]]) for x in self.items]
 
-    def search(self, column) -> tuple[list[int], list[int], list[float]]:
-        """(row, item id, share of the item) of the leaks in a column of texts."""
-        ids, lens = _batch_ids(column, self.vocabulary)
+    def search(self, ids: np.ndarray, lens: np.ndarray) -> tuple[list[int], list[int], list[float]]:
+        """(row, item id, share of the item) of the leaks in texts, given as all terms' numbers."""
+        ids = self.group[ids]
         cells, first = _cells(lens, STEP)
         n_cells = int((-(-lens // STEP)).sum())
         w = self.weights[ids]
@@ -301,22 +352,36 @@ class Index:
         return [k[0] for k, _ in found], [k[1] for k, _ in found], [v for _, v in found]
 
 
-def build(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """An index of each group of at most RANK benchmark passages, by statistics over all documents; a job
-    for the frequencies and one for each group.  Empty for an empty benchmark."""
-    items = items_of(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").orderBy("item_id").collect())
-    if not items:
-        return []
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x.words}))}
-    df, total = frequencies(docs, vocabulary)
-    n = -(-len(items) // RANK)
-    cuts = [len(items) * g // n for g in range(n + 1)]
-    return [_index(docs, items[lo:hi], vocabulary, df, total) for lo, hi in itertools.pairwise(cuts)]
+def _numbers(items: list[Item]) -> dict[bytes, int]:
+    return {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x.words}))}
+
 
+class Search:
+    """The benchmark's items and terms, the numbered texts, and an index of each group of at most RANK
+    items; a job for the frequencies and one for each group."""
 
-def _index(docs: DataFrame, items: list[Item], numbers: dict[bytes, int], df: np.ndarray, total: int) -> Index:
+    def __init__(self, docs: DataFrame, benchmark: DataFrame) -> None:
+        self.items = items_of(benchmark.select("item_id", "text").filter("item_id IS NOT NULL").orderBy("item_id").collect())
+        self.vocabulary = _numbers(self.items)
+        self.texts = staged(numbered(docs, self.vocabulary), "terms") if self.items else None
+
+    def indexes(self):
+        """The indexes, at most AT_ONCE in a list: what is sent at a time is at most AT_ONCE times
+        RANK x PASSAGE terms x RANK numbers, whatever the benchmark's size."""
+        df, total = frequencies(self.texts, len(self.vocabulary))
+        n = -(-len(self.items) // RANK)
+        cuts = [len(self.items) * g // n for g in range(n + 1)]
+        groups = list(itertools.pairwise(cuts))
+        for at in range(0, n, AT_ONCE):
+            yield [_index(self.texts, self.items[lo:hi], self.vocabulary, df, total) for lo, hi in groups[at : at + AT_ONCE]]
+
+
+def _index(texts: DataFrame, items: list[Item], numbers: dict[bytes, int], df: np.ndarray, total: int) -> Index:
     """The index of one group; numbers: places of all words in df."""
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x.words}))}
+    vocabulary = _numbers(items)
+    group = np.zeros(len(numbers) + 1, np.int32)
+    for w, i in vocabulary.items():
+        group[numbers[w]] = i
     df = df[[0, *(numbers[w] for w in vocabulary)]]
     idf = np.log((1 + total) / (1 + df))
     idf[0] = 0
@@ -325,28 +390,28 @@ def _index(docs: DataFrame, items: list[Item], numbers: dict[bytes, int], df: np
         rare = sorted({vocabulary[w] for w in x.words}, key=lambda t: (df[t], t))[:4]
         weights[rare] = np.maximum(idf[rare], 1e-3)
     weights[0] = 0
-    vectors = latent(docs, items, vocabulary, weights)
+    vectors = latent(texts, group, items, vocabulary, weights)
     projected = (_item_rows(items, vocabulary, weights) @ vectors).astype(np.float32)
     projected /= np.maximum(np.linalg.norm(projected, axis=1), 1e-12)[:, None]
     terms = (vectors * weights[:, None]).astype(np.float32)
-    return Index(vocabulary, weights, terms, items, projected, OUTSIDE * float(weights.max()))
+    return Index(vocabulary, weights, terms, items, projected, OUTSIDE * float(weights.max()), group)
 
 
 def _send(docs: DataFrame, indexes: list[Index]):
     """A broadcast of the indexes as plain values: workers need no copy of this package to read it."""
-    plain = [(x.vocabulary, x.weights, x.terms, [(i.item_id, i.words, i.answer) for i in x.items], x.vectors, x.outside) for x in indexes]
+    plain = [(x.vocabulary, x.weights, x.terms, [(i.item_id, i.words, i.answer) for i in x.items], x.vectors, x.outside, x.group) for x in indexes]
     return docs.sparkSession.sparkContext.broadcast(plain)
 
 
 def _received(sent) -> list[Index]:
-    return [Index(vocabulary, weights, terms, [Item(*x) for x in items], vectors, outside) for vocabulary, weights, terms, items, vectors, outside in sent.value]
+    return [Index(vocabulary, weights, terms, [Item(*x) for x in items], vectors, outside, group) for vocabulary, weights, terms, items, vectors, outside, group in sent.value]
 
 
-def _searched(indexes: list[Index], column) -> tuple[list[int], list[int], list[float]]:
+def _searched(indexes: list[Index], ids: np.ndarray, lens: np.ndarray) -> tuple[list[int], list[int], list[float]]:
     """(row, item id, share of the item) of the leaks by all groups; an item's parts may be in two."""
     out: dict[tuple[int, int], float] = {}
     for index in indexes:
-        for row, item, share in zip(*index.search(column), strict=True):
+        for row, item, share in zip(*index.search(ids, lens), strict=True):
             out[row, item] = max(share, out.get((row, item), 0))
     found = sorted(out.items())
     return [k[0] for k, _ in found], [k[1] for k, _ in found], [v for _, v in found]
@@ -354,34 +419,49 @@ def _searched(indexes: list[Index], column) -> tuple[list[int], list[int], list[
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): documents that hold a benchmark item, or most of one."""
-    kind = "doc_id bigint, item_id bigint, share double"
-    if not (indexes := build(docs, benchmark)):
-        return docs.sparkSession.createDataFrame([], kind)
-    sent = _send(docs, indexes)
-
-    def rows(batches):
-        own = _received(sent)
-        for batch in _slices(batches, 1):
-            row, item, share = _searched(own, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, kind)
+    names = "doc_id bigint, item_id bigint, share double"
+    search = Search(docs, benchmark)
+    if not search.items:
+        return docs.sparkSession.createDataFrame([], names)
+    kind, parts = _kind(search.vocabulary), []
+    for indexes in search.indexes():
+        sent = _send(docs, indexes)
+
+        def rows(batches, sent=sent):
+            own = _received(sent)
+            for batch in _slices(batches, 1):
+                row, item, share = _searched(own, *_read(batch, 1, kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
+
+        parts.append(search.texts.mapInArrow(rows, names))
+    if len(parts) == 1:
+        return parts[0]
+    # a long item's parts may be in two groups; the rows of one document are told apart no more
+    parts = [staged(p, "leaks") for p in parts]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
 def apply(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak; narrow, as the rows pass through the search."""
-    if not (indexes := build(docs, benchmark)):
+    search = Search(docs, benchmark)
+    if not search.items:
         return docs
-    sent, at = _send(docs, indexes), docs.columns.index("text")
-
-    def rows(batches):
-        own = _received(sent)
-        for batch in _slices(batches, at):
-            keep = np.ones(batch.num_rows, bool)
-            keep[_searched(own, batch.column(at).cast(pa.binary()))[0]] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(rows, docs.schema)
+    vocabulary, at, out, last = search.vocabulary, docs.columns.index("text"), docs, None
+    for indexes in search.indexes():
+        sent = _send(docs, indexes)
+
+        def rows(batches, sent=sent):
+            own, terms = _received(sent), Terms(vocabulary)
+            for batch in _slices(batches, at):
+                keep = np.ones(batch.num_rows, bool)
+                keep[_searched(own, *terms.of(batch.column(at).cast(pa.binary())))[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        if last is not None:
+            out = staged(out, "decontaminated")
+        out = last = out.mapInArrow(rows, docs.schema)
+    dropped(search.texts)
+    return out
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
