@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import dropped, staged, worker_cache
+from quire.llm.common import dropped, handed_back, staged, worker_cache
 
 PASSAGE = 64
 STEP = 32
@@ -152,6 +152,7 @@ def _slices(batches, column: int = 0):
         starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
         for lo, hi in itertools.pairwise(starts):
             yield batch.slice(lo, hi - lo)
+    handed_back()
 
 
 def frequencies(texts: DataFrame, terms: int) -> tuple[np.ndarray, int]:

@@ -34,7 +34,7 @@ from quire.llm.components import components
 
 #: Jaccard of 4/5: |A| >= 4/5 |B|, and |A ^ B| <= (|A| + |B|) / 9.
 NUM, DEN = 4, 5
-BUCKET_CHARS = 20_000_000
+BUCKET_CHARS = 10_000_000
 #: Bytes of text that are read at a time.
 SLICE = 2 << 20
 TILE, TILES_A_GROUP = 2048, 8
@@ -269,6 +269,7 @@ def passing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
                 p, q = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (p, q))
                 keep[i] = 9 * int(np.bitwise_count(p ^ q).sum()) <= n[i] + m[i]
             yield pa.RecordBatch.from_arrays(batch.columns[:3], ["a", "b", "shared"]).filter(pa.array(keep))
+        handed_back()
 
     own, of = marks.toDF("a", "n", "x"), marks.toDF("b", "m", "y")
     joined = pairs.join(own, "a").join(of, "b").select("a", "b", "shared", "n", "m", "x", "y")
@@ -311,6 +312,7 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, read: Reader)
                 both = len(np.intersect1d(p, q, assume_unique=True)) if DEN * min(len(p), len(q)) >= NUM * max(len(p), len(q)) else 0
                 keep.append(DEN * both >= NUM * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        handed_back()
 
     if pairs.isEmpty():
         return pairs
@@ -386,6 +388,8 @@ def residual(pairs: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame
                 xs.append(np.minimum(x, y))
                 ys.append(np.maximum(x, y))
         x, y, _ = counted(np.concatenate(xs), np.concatenate(ys), np.ones(sum(map(len, xs)), np.int64))
+        del table, marks_
+        handed_back()
         return pa.table({"a": x, "b": y})
 
     out = staged(spread.groupBy("group").applyInArrow(compared, "a bigint, b bigint").distinct(), "close")
