@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import dropped, staged
 
 
+#: Edges in a file; a round never has more edges than the one before, so small ones are few tasks.
+ROWS = 200_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -27,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     e, seen = staged(e, "edges"), None
     while (now := _state(e)) != seen:
-        seen = now
+        seen, files = now, now[0] // ROWS + 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -39,9 +43,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        before, e = e, staged(small, "edges")
+        before, e = e, staged(small.coalesce(files), "edges")
         dropped(before)
-    roots = e.select("v").distinct()
+    roots = e.select("v").distinct().coalesce(now[0] // ROWS + 1)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
     )

@@ -4,7 +4,8 @@ The positives are documents whose label says good; the unlabelled set is drawn f
 itself, whatever its labels.  The model minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss, so its output estimates the posterior of a good document.  The class prior
-is the share of good documents among the labelled training rows.
+is estimated from the positives and the unlabelled rows alone: how the labelled rows were picked,
+and how many bad ones are among them, has no part in it.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read.  The score
 depends on the text alone.  Only the fit uses a bounded sample: SAMPLE positives and SAMPLE
@@ -13,7 +14,7 @@ unlabelled rows, the first by a hash of doc_id; features and scores cover every
 Defined cases: null text is empty; an empty text has zero features and the score 0 (no word speaks
 for it); a null doc_id counts as the empty text in crc32; labels that are null, or of
 documents that don't exist, are ignored; without both a positive and an unlabelled row the score
-is the prior, or 0.5 without labels; a doc_id that has several label rows counts once for each.
+is 0.5; a doc_id that has several label rows counts once for each.
 """
 
 from __future__ import annotations
@@ -125,26 +126,53 @@ def _fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _order(seed: int):
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+
+
 def _few(rows: DataFrame, count: int, sample: int, seed: int) -> DataFrame:
-    """The `sample` rows of the least hash.  A bound on the hash first leaves about twice as many, so
-    the tasks send on no more than that between them."""
-    order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    """The `sample` rows of the least hash, ties by their values.  A bound on the hash first leaves about
+    twice as many, so the tasks send on no more than that between them."""
     share = 2 * (sample + 50) / max(count, 1)
-    return rows.filter(order < int(min(share, 1.0) * (1 << 40))).orderBy(order, "doc_id").limit(sample)
+    return rows.filter(_order(seed) < int(min(share, 1.0) * (1 << 40))).orderBy(_order(seed), *rows.columns).limit(sample)
+
+
+def class_prior(labelled: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, by the scores of a classifier of labelled positives
+    against unlabelled rows: a positive's mean score is what positives have, so the share of the
+    unlabelled at or above a level can't be less than prior times that of the positives.  The least ratio over
+    the levels that hold a tenth of the positives or more bounds the prior and is near it where some
+    level holds positives alone."""
+    levels = np.quantile(labelled, np.linspace(0.0, 0.9, 19))
+    p = (labelled[:, None] >= levels).mean(0)
+    u = (unlabelled[:, None] >= levels).mean(0)
+    # a standard error in favour of the higher ratio: the least of several is low by chance
+    u, p = u + np.sqrt(u * (1 - u) / len(unlabelled)), p - np.sqrt(p * (1 - p) / len(labelled))
+    return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.01, 0.99))
+
+
+def _prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The prior by halves: each is scored by a model of the other.  Half for too few rows."""
+    if min(len(p), len(u)) < 40:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = Model(N_FEATURES).fit(p[1 - k :: 2], u[1 - k :: 2], 0.5, epochs=60)
+        found.append(class_prior(model.score(p[k::2]), model.score(u[k::2])))
+    return float(np.mean(found))
 
 
 def train(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
-    """Fits on at most `sample` positives and `sample` unlabelled rows; a number if it can't."""
-    known = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & (_fold() != HELD_OUT))
-    good, all_ = known.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    prior = good / all_ if all_ else 0.5
-    some = _few(known.filter("quality = 1").select("doc_id"), good, sample, 7).distinct()
-    positive = vectors.join(some, "doc_id", "left_semi").limit(2 * sample)
+    """Fits on at most `sample` positives and `sample` unlabelled rows; a number if it can't.  The rows come
+    in the order of a hash, so the fit doesn't depend on how the tables are partitioned."""
+    known = labels.select("doc_id").filter((F.col("quality") == 1) & (_fold() != HELD_OUT))
+    some = _few(known, known.count(), sample, 7).distinct()
+    positive = vectors.join(some, "doc_id", "left_semi").orderBy(_order(7), "doc_id", "x").limit(sample)
     unlabelled = _few(vectors, vectors.count(), sample, 11)
-    p, u = ([r["x"] for r in d.select("x").collect()] for d in (positive, unlabelled))
-    if not p or not u:
-        return prior
-    return Model(N_FEATURES).fit(np.array(p, float), np.array(u, float), min(max(prior, 0.01), 0.99))
+    p, u = (np.array([r["x"] for r in d.select("x").collect()], float) for d in (positive, unlabelled))
+    if not len(p) or not len(u):
+        return 0.5
+    return Model(N_FEATURES).fit(p, u, _prior(p, u))
 
 
 def scored(vectors: DataFrame, model: Model | float) -> DataFrame:
