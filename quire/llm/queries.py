@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op3_secret_scan": secret_scan.SQL, "op5_ngram_join": ngram_join.SQL, "op10_warc": warc.SQL}
