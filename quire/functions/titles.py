@@ -42,6 +42,12 @@ def is_author_or_institution(line: Column) -> Column:
     return F.lower(line).rlike(INSTITUTION) | line.rlike(NAMED) | line.rlike(INITIALS)
 
 
+def readable(line: Column, most: float = 0.3) -> Column:
+    """Fewer replacement characters than a share.  Where lines are transliterated first, none are left to count."""
+    bad = F.length(line) - F.length(F.replace(line, F.lit("\ufffd"), F.lit("")))
+    return bad / F.greatest(F.length(line), F.lit(1)) < most
+
+
 def lines_of(page: Column) -> Column:
     return F.transform(F.split(page, "\n", -1), squish)
 

@@ -1,12 +1,15 @@
 """Duplicate papers: candidate pairs, similarity tiers, expansion and resolution.
 
 Candidates are blocked on equal word counts by an equi-join, with the length bound of the Jaro
-similarity as a residual condition, so that most pairs never reach Python.  A null word count,
-author or title pairs with nothing.
+similarity as a residual condition, so that most pairs never reach Python.  A block of more than
+BLOCK_ROWS papers is dealt over several tasks: one side by a salt, the other to every salt.  Without
+blocking, all pairs that the tier's length bound allows meet by classes of title length.  A null word
+count, author or title pairs with nothing.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,18 +35,45 @@ def _sides(index: DataFrame, author_col: str, title_col: str) -> DataFrame:
     return index.select("id", "word_count", normalised(F.col(author_col)).alias("au"), normalised(F.col(title_col)).alias("ti"))
 
 
+#: Papers of a block in one task.
+BLOCK_ROWS = 4096
+
+
 def candidate_pairs(index: DataFrame, block_on: str | None = "word_count", tier: Tier | None = None, author_col: str = "first_author", title_col: str = "title") -> DataFrame:
-    """(id_a, id_b, word_count_a, au_a, au_b, ti_a, ti_b), id_a < id_b.  Without block_on all pairs
-    are compared: quadratic, for small collections."""
-    a, b = (_sides(index, author_col, title_col).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "word_count", "au", "ti")]) for s in "ab")
-    on = F.col("id_a") < F.col("id_b")
+    """(id_a, id_b, word_count_a, au_a, au_b, ti_a, ti_b), id_a < id_b.  Without block_on a tier is
+    needed; its pairs are quadratic in the papers, as the semantics ask."""
+    if not block_on and not tier:
+        raise ValueError("all pairs need a tier")
+    sides = _sides(index, author_col, title_col)
     if block_on:
-        on &= F.col(f"{block_on}_a") == F.col(f"{block_on}_b")
+        sides = sides.withColumn("block", F.col(block_on))
+        other = sides
+    else:
+        # titles of similar papers differ in length by a factor of at most 1 / least: one class apart
+        least = max(3 * (tier.title - 0.0006) - 2, 0.05)
+        sides = sides.withColumn("block", F.floor(F.log(F.greatest(F.length("ti"), F.lit(1)).cast("double")) / -math.log(least)).cast("int"))
+        other = sides.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    salts = sides.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")).filter("salts > 1")
+    names = ("id", "word_count", "au", "ti", "block")
+
+    def side(rows: DataFrame, x: str, salt) -> DataFrame:
+        dealt = rows.join(salts, "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        return dealt.select(*[F.col(c).alias(f"{c}_{x}") for c in names], salt.alias(f"salt_{x}"))
+
+    a = side(sides, "a", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    b = side(other, "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    on = (F.col("block_a") == F.col("block_b")) & (F.col("salt_a") == F.col("salt_b")) & (F.col("id_a") < F.col("id_b"))
     if tier:
         on &= length_bound(F.col("au_a"), F.col("au_b"), tier.author) & length_bound(F.col("ti_a"), F.col("ti_b"), tier.title)
     return a.join(b, on).select("id_a", "id_b", "word_count_a", "au_a", "au_b", "ti_a", "ti_b")
 
 
+def pair_count(index: DataFrame) -> DataFrame:
+    """(n, pairs, shown): papers, their pairs, and the pairs with thousands separators."""
+    n = F.col("n")
+    return index.agg(F.count("*").alias("n")).select("n", F.expr("n * (n - 1) div 2").alias("pairs"), F.format_number((n * (n - 1) / 2).cast("decimal(38,0)"), 0).alias("shown"))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "id_a",
@@ -79,6 +109,14 @@ def exact_title_duplicates(index: DataFrame) -> DataFrame:
     return index.join(many, F.col("title").eqNullSafe(F.col("_t")), "left_semi")
 
 
+def example_titles(index: DataFrame, k: int = 3, order: tuple[str, ...] = ("year", "filename_original", "path_original")) -> DataFrame:
+    """The papers of the first k titles, by first appearance, that several papers have, by title and year."""
+    dups = exact_title_duplicates(index)
+    at = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
+    first = dups.groupBy(F.col("title").alias("_t")).agg(F.min(at).alias("_at")).orderBy("_at").limit(k).select("_t")
+    return index.join(F.broadcast(first), F.col("title").eqNullSafe(F.col("_t")), "left_semi").orderBy(F.asc_nulls_last("title"), F.asc_nulls_last("year"))  # k rows
+
+
 def canonical_pairs(duplicates: DataFrame) -> DataFrame:
     """Distinct (id_a, id_b) with id_a < id_b; a pair with a null stays out."""
     both = duplicates.filter(F.col("id").isNotNull() & F.col("matched_id").isNotNull())

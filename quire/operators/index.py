@@ -12,11 +12,22 @@ from quire.functions.titles import AUTHORS, affiliation, placeholder_title, titl
 INDEX = ("id", "year", "filename_original", "title", "page_count", "word_count", "first_author", "path_original")
 
 
-def assign_ids(papers: DataFrame) -> DataFrame:
-    """Adds id, <year>_<number by file name and path within the year>.  A year is one window
-    partition of a few narrow columns; years are many and papers of a year bounded by a conference."""
-    order = W.partitionBy("year").orderBy(F.asc_nulls_last("filename_original"), F.asc_nulls_last("path_original"))
-    return papers.withColumn("id", numbered_id(F.col("year"), F.row_number().over(order)))
+#: Leading characters of a file name that divide a year's papers.
+PREFIX = 12
+
+
+def assign_ids(papers: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """Adds id, <year>_<number by file name and path within the year>.  Papers are numbered within their
+    year and the first characters of their name; a prefix starts behind the papers of the lesser ones,
+    of which there is one row each, so no year is gathered in one task."""
+    cut = F.substring("filename_original", 1, prefix)
+    own = W.partitionBy("year", "_cut").orderBy(F.asc_nulls_last("filename_original"), F.asc_nulls_last("path_original"))
+    before = W.partitionBy("_year").orderBy(F.asc_nulls_last("_prefix")).rowsBetween(W.unboundedPreceding, -1)
+    counts = papers.groupBy(F.col("year").alias("_year"), cut.alias("_prefix")).agg(F.count("*").alias("_n"))
+    starts = counts.select("_year", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = papers.withColumn("_cut", cut).withColumn("_own", F.row_number().over(own))
+    joined = ranked.join(starts, F.col("year").eqNullSafe(F.col("_year")) & F.col("_cut").eqNullSafe(F.col("_prefix")))
+    return joined.withColumn("id", numbered_id(F.col("year"), F.col("_before") + F.col("_own"))).drop("_cut", "_own", "_year", "_prefix", "_before")
 
 
 def metadata(pages: DataFrame, title: str = "continuation", author: str = "segment", strict: bool = False) -> DataFrame:
@@ -59,37 +70,41 @@ def with_placeholders(index: DataFrame) -> DataFrame:
     return index.withColumn("title", F.coalesce("title", placeholder_title(F.col("filename_original"))))
 
 
-def rows_update(target: DataFrame, updates: DataFrame, key: str = "id", unmatched: str = "ignore") -> DataFrame:
-    """target with the columns of updates set where the key matches, nulls included.  Repeated keys in
-    updates, and with unmatched='error' keys that target lacks, fail when the result is computed."""
+def rows_update(target: DataFrame, updates: DataFrame, key: str = "id", unmatched: str = "ignore", skip_null: bool = False) -> DataFrame:
+    """target with the columns of updates set where the key matches, nulls included, unless skip_null.
+    Repeated keys in updates (of a column's values, with skip_null), and with unmatched='error' keys that
+    target lacks, fail when the result is computed.  One join for all columns."""
     columns = [c for c in updates.columns if c != key]
-    new = updates.groupBy(F.col(key).alias("_key")).agg(
-        F.count("*").alias("_n"), *[F.first(c).alias(f"_new_{c}") for c in columns]
-    )
+    if skip_null:
+        updates = updates.filter(" OR ".join(f"`{c}` IS NOT NULL" for c in columns))
+    times = F.greatest(*[F.count(c) for c in columns], F.lit(0)) if skip_null else F.count("*")
+    new = updates.groupBy(F.col(key).alias("_key")).agg(times.alias("_n"), *[F.first(c, ignorenulls=skip_null).alias(f"_new_{c}") for c in columns])
     new = new.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated update key "), F.col("_key"))).cast("bigint")).otherwise(F.col("_n")))
     kind = "full" if unmatched == "error" else "left"
     joined = target.withColumn("_here", F.lit(True)).join(new, F.col(key) == F.col("_key"), kind)
     if unmatched == "error":
         missing = F.raise_error(F.concat(F.lit("update key not in target: "), F.coalesce("_key", F.lit("NA"))))
         joined = joined.filter(F.when(F.col("_here").isNull(), missing.cast("boolean")).otherwise(F.lit(True)))
-    return joined.select(
-        *[
-            (F.when(F.col("_n") > 0, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c))
-            for c in target.columns
-        ]
-    )
+
+    def updated(c: str):
+        value = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if skip_null else F.col(f"_new_{c}")
+        return F.when(F.col("_n") > 0, value).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*[updated(c) if c in columns else F.col(c) for c in target.columns])
 
 
 def apply_fixes(index: DataFrame, fixes: DataFrame, mode: str = "skip_blank", unmatched: str = "ignore") -> DataFrame:
     """Manual fixes (ID, first_author_new, title_actual).  overwrite sets both columns blindly;
     skip_blank leaves what a fix has blank or as `no change`."""
-    fixed = fixes.select(F.col("ID").alias("id"), F.col("first_author_new").alias("first_author"), F.col("title_actual").alias("title"))
-    if mode == "overwrite":
-        return rows_update(index, fixed, "id", unmatched)
-    for c in ("first_author", "title"):
-        own = fixed.select("id", changed_to(F.col(c)).alias(c)).filter(F.col(c).isNotNull())
-        index = rows_update(index, own, "id", unmatched)
-    return index
+    skip = mode != "overwrite"
+    value = changed_to if skip else (lambda c: c)
+    fixed = fixes.select(F.col("ID").alias("id"), value(F.col("first_author_new")).alias("first_author"), value(F.col("title_actual")).alias("title"))
+    return rows_update(index, fixed, "id", unmatched, skip_null=skip)
+
+
+def preview(df: DataFrame, n: int = 20, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first n rows, in an order if one is given."""
+    return (df.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else df).limit(n)
 
 
 def null_counts(index: DataFrame) -> DataFrame:

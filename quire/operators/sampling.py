@@ -14,5 +14,5 @@ def first_k_per_group(df: DataFrame, k: int, group: str = "year", order: str = "
 
 def sample_k_per_group(df: DataFrame, k: int, seed: int = 42, group: str = "year", key: str = "id") -> DataFrame:
     """k rows of each group, all where there are fewer; the same ones for the same seed and keys."""
-    w = W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = W.partitionBy(group).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -22,27 +22,50 @@ def sync_check(files: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def _hadoop(spark, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def _done(plan: DataFrame, columns: list[str], deed) -> int:
+    """Runs a deed for each row in the tasks; how many it did.  A retried task does them again: deeds are idempotent."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            n += sum(bool(deed(*row)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return plan.select(*columns).mapInArrow(rows, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def copy_files(plan: DataFrame, overwrite: bool = True) -> int:
-    """Copies (path_original, path_new) file by file; returns how many.  Streams the plan, holds no list of it."""
-    spark, n = plan.sparkSession, 0
-    for row in plan.select("path_original", "path_new").toLocalIterator():
-        (sfs, src), (dfs, dst) = _hadoop(spark, row[0]), _hadoop(spark, row[1])
-        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(sfs, src, dfs, dst, False, overwrite, spark._jsc.hadoopConfiguration())
-        n += 1
-    return n
+    """Copies (path_original, path_new), each file in pieces; returns how many.  Without overwrite an existing file is an error."""
+
+    def copied(old: str, new: str) -> bool:
+        from pyarrow import fs
+
+        (source, a), (target, b) = (fs.FileSystem.from_uri(x if ":" in x else f"file://{x}") for x in (old, new))
+        if not overwrite and target.get_file_info(b).type != fs.FileType.NotFound:
+            raise FileExistsError(new)
+        target.create_dir(b.rpartition("/")[0], recursive=True)
+        with source.open_input_stream(a, compression=None) as have, target.open_output_stream(b, compression=None) as put:
+            while data := have.read(1 << 22):
+                put.write(data)
+        return True
+
+    return _done(plan, ["path_original", "path_new"], copied)
 
 
 def delete_files(plan: DataFrame, confirmed: bool = False) -> int:
-    """Deletes the planned files (column path); refuses unless confirmed."""
+    """Deletes the planned files (column path), missing ones aside; refuses unless confirmed."""
     if not confirmed:
         raise ValueError("deleting needs confirmed=True")
-    n = 0
-    for row in plan.select("path").toLocalIterator():
-        fs, path = _hadoop(plan.sparkSession, row[0])
-        n += bool(fs.delete(path, False))
-    return n
+
+    def deleted(path: str) -> bool:
+        from pyarrow import fs
+
+        store, own = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        if store.get_file_info(own).type == fs.FileType.NotFound:
+            return False
+        store.delete_file(own)
+        return True
+
+    return _done(plan, ["path"], deleted)

@@ -68,11 +68,11 @@ def token_funnel(corpus: DataFrame) -> DataFrame:
 
 
 def word_counts(corpus: DataFrame, stem: bool = True, stops: DataFrame | None = None) -> DataFrame:
-    """(year, word, n).  Words are counted before they are stemmed, so only counts are joined."""
+    """(year, word, n).  Words are counted before they are stemmed: the texts are read once, nothing is joined."""
     counts = without_stops(letters_only(tokens(corpus).select("year", "word")), stops).groupBy("year", "word").agg(F.count("*").alias("n"))
     if not stem:
         return counts
-    return with_stems(counts).groupBy("year", F.col("stem").alias("word")).agg(F.sum("n").alias("n"))
+    return stemmed(counts).groupBy("year", F.col("stem").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def top_terms(counts: DataFrame, k: int = 10, ties: bool = True, themes: DataFrame | None = None) -> DataFrame:
@@ -84,11 +84,10 @@ def top_terms(counts: DataFrame, k: int = 10, ties: bool = True, themes: DataFra
 
 
 def top_terms_global(counts: DataFrame, k: int = 20) -> DataFrame:
-    """The k most frequent words over all, ties kept.  The k-th count is found by a distributed
-    top-k, then rows at or above it are taken: no window over all rows."""
+    """The k most frequent words over all, ties kept.  Each task keeps its own k and ties before the one
+    that ranks them all."""
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    floor = totals.select("n").orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("_least"))
-    return totals.join(F.broadcast(floor), F.col("n") >= F.col("_least")).select("word", "n")  # one row
+    return totals.withColumn("_r", F.rank().over(W.orderBy(F.desc("n")))).filter(F.col("_r") <= k).select("word", "n")
 
 
 def facet_label(year: Column, theme: Column) -> Column:
@@ -117,9 +116,9 @@ def svg_bars(frame, width: int = 420, bar: int = 16) -> str:
 
 
 def stem_examples(words: DataFrame, k: int = 20) -> DataFrame:
-    """(stem, n, examples) of (id, pos, word, stem): up to three words by first appearance, padded
-    with NA up to the number of rows.  Words are reduced to their first place before they are listed."""
-    per_word = words.groupBy("stem", "word").agg(F.count("*").alias("c"), F.min(F.struct("id", "pos")).alias("at"))
+    """(stem, n, examples) of (id, pos, word): up to three words by first appearance, padded with NA up to
+    the number of rows.  Words are reduced to their first place before they are stemmed and listed."""
+    per_word = stemmed(words.groupBy("word").agg(F.count("*").alias("c"), F.min(F.struct("id", "pos")).alias("at")))
     nth = F.row_number().over(W.partitionBy("stem").orderBy("at"))
     first = per_word.withColumn("_r", nth)
     out = first.groupBy("stem").agg(

@@ -116,6 +116,18 @@ def _changed(x: str) -> str:
     return f"CASE WHEN {squish(x)} = '' OR lower({squish(x)}) = 'no change' THEN NULL ELSE {squish(x)} END"
 
 
+BAD = "chr(65533)"
+MARKED = f"translate(text, 'aei', {BAD} || {BAD} || {BAD})"
+SPLIT = f"""{P}, z AS (SELECT *, CASE WHEN text IS NOT NULL THEN list_transform(range(0, CAST(ceil(len(string_split(text, chr(10))) / 4) AS INT)),
+ lambda i: array_to_string(string_split(text, chr(10))[i * 4 + 1:i * 4 + 4], chr(10))) END AS pages FROM g)"""
+
+
+def _all(t: float) -> str:
+    return f"""WITH {IDX}, n AS (SELECT id, word_count AS wc, {normal('first_author')} AS au, {normal('title')} AS ti FROM idx),
+ sc AS (SELECT a.id AS id_a, b.id AS id_b, {sim('a.au', 'b.au')} AS author_sim, {sim('a.ti', 'b.ti')} AS title_sim, a.wc AS word_count_a FROM n a JOIN n b ON a.id < b.id)
+ SELECT * FROM sc WHERE author_sim >= {t} AND title_sim >= {t}"""
+
+
 def oracle_sql() -> dict[str, str]:
     behind = "list_filter(l[list_position(l, t) + 1:], lambda x: x <> '')[1:6]"
     found = {
@@ -151,6 +163,16 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_pairs_strict": tier(0.90, 0.90),
         "duplicate_pairs_moderate": tier(0.70, 0.70),
         "expand_duplicates": f"WITH {DUP} SELECT d.id, matched_id, author_sim, title_sim, {COLUMNS[4:]} FROM dup d LEFT JOIN idx i ON d.id = i.id",
+        "duplicate_pairs_strict_all": _all(0.90),
+        "duplicate_pairs_moderate_all": _all(0.70),
+        "pair_count": "SELECT n, n * (n - 1) // 2 AS pairs, format('{:,}', n * (n - 1) // 2) AS shown FROM (SELECT count(*) AS n FROM documents)",
+        "example_titles": f"WITH {IDX}, t AS (SELECT title FROM idx GROUP BY title HAVING count(*) > 1 ORDER BY min((year IS NULL, year, filename_original, path_original)) LIMIT 3) SELECT id, year, idx.title FROM idx JOIN t ON idx.title IS NOT DISTINCT FROM t.title",
+        "preview": f"WITH {IDX} SELECT {COLUMNS} FROM idx ORDER BY id LIMIT 20",
+        "readable_lines": f"WITH a AS (SELECT unnest({lines(MARKED)}) AS x FROM documents) SELECT (length(x) - length(replace(x, {BAD}, ''))) / greatest(length(x), 1) < 0.3 AS readable, count(*) AS n FROM a GROUP BY ALL",
+        "build_corpus": f"""WITH {SPLIT}, h AS (SELECT *, {USABLE.replace('text', 'pages[1]')} AS l FROM z),
+ i AS (SELECT coalesce(CAST(year AS VARCHAR), 'NA') || '_' || printf('%04d', row_number() OVER (PARTITION BY year ORDER BY fn, path)) AS id,
+  year, {CONTINUED} AS title, {AUTHOR} AS first_author, path AS filepath, md5(array_to_string(pages, ' ')) AS text, coalesce(len(pages), -1) AS page_count FROM h)
+ SELECT id, year, title, first_author, filepath, text, CAST(page_count AS INT) AS page_count FROM i""",
         "canonical_pairs": f"WITH {DUP} SELECT * FROM can",
         "resolve_default": f"WITH {DUP} SELECT id FROM kept",
         "resolve_override": f"WITH {DUP} SELECT id_a, id_b, CASE WHEN e THEN id_b ELSE id_a END AS keep_id, CASE WHEN e THEN id_a ELSE id_b END AS drop_id FROM (SELECT *, CAST(right(id_b, 1) AS INT) % 2 = 0 AS e FROM can)",
@@ -171,6 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "facet_labels": f"WITH {IDX}, {THEMES}, y AS (SELECT DISTINCT year FROM idx) SELECT year, {LABEL} AS label FROM y LEFT JOIN th USING (year)",
         "plot_frame": f"WITH {STEMS}, {TOP}, {THEMES} SELECT year, {LABEL} AS facet_label, word, n, CAST(row_number() OVER (PARTITION BY year ORDER BY n, word) AS INT) AS order_in_facet FROM tp LEFT JOIN th USING (year)",
         "first_k_per_year": f"WITH {IDX} SELECT id, year FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY path_original) AS r FROM idx) WHERE r <= 8",
+        "sample_k_per_year": f"WITH {IDX} SELECT id, year FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY md5(id || ':42'), id) AS r FROM idx) WHERE r <= 5",
         "years_covered": f"WITH {IDX} SELECT string_agg(year, ', ' ORDER BY year) AS years FROM (SELECT DISTINCT year FROM idx WHERE year IS NOT NULL)",
         "null_counts": f"WITH {IDX} SELECT count(*) AS n, {', '.join(f'count(*) - count({c}) AS null_{c}' for c in COLUMNS.split(', '))} FROM idx",
         "flat_reindex": rf"WITH {IDX} SELECT id, TRY_CAST(regexp_extract(id, '^\p{{Nd}}{{4}}') AS INT) AS year, TRY_CAST(regexp_extract(id, '\p{{Nd}}{{4}}$') AS INT) AS paper_num, id || '.pdf' AS filename_new FROM idx",

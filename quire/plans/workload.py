@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +35,20 @@ def built(s: SparkSession, d: str) -> DataFrame:
     return index.build_index(pages(s, d))
 
 
+def stored(s: SparkSession, d: str) -> DataFrame:
+    """The index, written once for a query that reads it several times."""
+    return io.save(built(s, d), io.shared_path(s, "index"))
+
+
 def corpus(s: SparkSession, d: str) -> DataFrame:
     """The corpus without a join: ids are not needed for counts by year."""
     return pages(s, d).select(F.col("doc_id").alias("id"), year_of(F.col("path")).alias("year"), F.array_join("pages", " ").alias("text"))
 
 
-def fixes(s: SparkSession, d: str) -> DataFrame:
+def fixes(s: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
     """labels as manual fixes: quality 0 gives a title, toxic 1 says no change."""
     own = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-    named = built(s, d).withColumn("doc_id", F.regexp_extract("filename_original", r"_([0-9]+)\.pdf$", 1).cast("bigint")).select("id", "doc_id")
+    named = (built(s, d) if idx is None else idx).withColumn("doc_id", F.regexp_extract("filename_original", r"_([0-9]+)\.pdf$", 1).cast("bigint")).select("id", "doc_id")
     return named.join(own, "doc_id").select(
         F.col("id").alias("ID"),
         F.when(F.col("t") == 1, " No Change ").alias("first_author_new"),
@@ -56,8 +60,34 @@ def pairs(s: SparkSession, d: str) -> DataFrame:
     return dedupe.duplicate_pairs(built(s, d))
 
 
-def duplicates(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.expand_pairs(pairs(s, d), built(s, d))
+def duplicates(idx: DataFrame) -> DataFrame:
+    """Of a stored index; the pairs are stored too, as both sides read them."""
+    found = io.save(dedupe.duplicate_pairs(idx), io.shared_path(idx.sparkSession, "pairs"))
+    return dedupe.expand_pairs(found, idx)
+
+
+def pages_split(s: SparkSession, d: str) -> DataFrame:
+    """Papers of several pages: a page for every four lines."""
+    lines = F.split("text", "\n", -1)
+    count = F.ceil(F.size(lines) / 4).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(lines, i * 4 + 1, 4), "\n"))
+    own = table(s, d, "documents").select(F.col("doc_id").alias("_id"), "text")
+    return pages(s, d).join(own, F.col("doc_id") == F.col("_id")).select("path", F.when(F.col("text").isNotNull(), cut).alias("pages"), "doc_id")
+
+
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    found = io.save(pages_split(s, d), io.shared_path(s, "pages"))
+    built_ = wordfreq.build_corpus(index.build_index(found), found)
+    return built_.join(found.select(F.col("path").alias("filepath"), F.size("pages").alias("page_count")), "filepath").select("id", "year", "title", "first_author", "filepath", F.md5("text").alias("text"), "page_count")
+
+
+def _resolved(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    idx = stored(s, d)
+    return idx, dedupe.resolve_duplicates(idx, duplicates(idx))
+
+
+def _flat_of(idx: DataFrame) -> DataFrame:
+    return io.flat_files(idx.select(F.concat(F.lit("/root/papers_flat/"), "id", F.lit(".pdf")).alias("path")))
 
 
 def overrides(dups: DataFrame) -> DataFrame:
@@ -71,7 +101,13 @@ def themes(s: SparkSession, d: str) -> DataFrame:
 
 
 def flat(s: SparkSession, d: str) -> DataFrame:
-    return io.flat_files(built(s, d).select(F.concat(F.lit("/root/papers_flat/"), "id", F.lit(".pdf")).alias("path")))
+    return _flat_of(built(s, d))
+
+
+def _readable(s: SparkSession, d: str) -> DataFrame:
+    """Lines whose vowels a, e, i are made replacement characters, by whether they stay readable."""
+    lines = _text(s, d, line=lambda t: F.explode(T.lines_of(F.translate(t, "aei", "\ufffd\ufffd\ufffd"))))
+    return lines.groupBy(T.readable(F.col("line")).alias("readable")).agg(F.count("*").alias("n"))
 
 
 def _text(s: SparkSession, d: str, **columns) -> DataFrame:
@@ -102,8 +138,7 @@ def _jaro(s: SparkSession, d: str) -> DataFrame:
 
 
 def _csv(s: SparkSession, d: str) -> DataFrame:
-    folder = s.conf.get("spark.checkpoint.dir", None) or "/tmp/quire"
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = io.shared_path(s, "csv")
     io.write_csv(built(s, d), path)
     return io.read_csv(s, path, PAPER_INDEX)
 
@@ -153,8 +188,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boilerplate_filter": _boilerplate,
         "assign_ids": built,
         "failed_titles": lambda s, d: index.failed_titles(built(s, d)).select("id", "year", "filename_original"),
-        "rows_update_overwrite": lambda s, d: index.apply_fixes(built(s, d), fixes(s, d), "overwrite").select("id", "title", "first_author"),
-        "rows_update_skip_blank": lambda s, d: index.apply_fixes(built(s, d), fixes(s, d), "skip_blank").select("id", "title", "first_author"),
+        "rows_update_overwrite": lambda s, d: index.apply_fixes(i := stored(s, d), fixes(s, d, i), "overwrite").select("id", "title", "first_author"),
+        "rows_update_skip_blank": lambda s, d: index.apply_fixes(i := stored(s, d), fixes(s, d, i), "skip_blank").select("id", "title", "first_author"),
         "changed_to": lambda s, d: fixes(s, d).select("ID", changed_to(F.col("first_author_new")).alias("author"), changed_to(F.col("title_actual")).alias("title")),
         "exact_title_duplicates": titles,
         "candidate_pairs": lambda s, d: dedupe.candidate_pairs(built(s, d)).select("id_a", "id_b", "word_count_a"),
@@ -162,12 +197,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_pairs": pairs,
         "duplicate_pairs_strict": lambda s, d: dedupe.duplicate_pairs(built(s, d), dedupe.STRICT),
         "duplicate_pairs_moderate": lambda s, d: dedupe.duplicate_pairs(built(s, d), dedupe.MODERATE),
-        "expand_duplicates": lambda s, d: dedupe.ordered(duplicates(s, d)),
-        "canonical_pairs": lambda s, d: dedupe.canonical_pairs(duplicates(s, d)),
-        "resolve_default": lambda s, d: dedupe.resolve_duplicates(built(s, d), duplicates(s, d)).select("id"),
-        "resolve_override": lambda s, d: dedupe.resolved_pairs(dups := duplicates(s, d), overrides(dups)),
-        "sync_plan": lambda s, d: sync.sync_plan(flat(s, d), dedupe.resolve_duplicates(built(s, d), duplicates(s, d))),
-        "sync_check": lambda s, d: sync.sync_check(flat(s, d), dedupe.resolve_duplicates(built(s, d), duplicates(s, d))),
+        "expand_duplicates": lambda s, d: dedupe.ordered(duplicates(stored(s, d))),
+        "duplicate_pairs_strict_all": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.STRICT, None),
+        "duplicate_pairs_moderate_all": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.MODERATE, None),
+        "pair_count": lambda s, d: dedupe.pair_count(built(s, d)),
+        "example_titles": lambda s, d: dedupe.example_titles(stored(s, d)).select("id", "year", "title"),
+        "preview": lambda s, d: index.preview(built(s, d), 20, ("id",)),
+        "readable_lines": _readable,
+        "build_corpus": _corpus,
+        "canonical_pairs": lambda s, d: dedupe.canonical_pairs(duplicates(stored(s, d))),
+        "resolve_default": lambda s, d: _resolved(s, d)[1].select("id"),
+        "resolve_override": lambda s, d: dedupe.resolved_pairs(dups := duplicates(stored(s, d)), overrides(dups)),
+        "sync_plan": lambda s, d: sync.sync_plan(_flat_of((r := _resolved(s, d))[0]), r[1]),
+        "sync_check": lambda s, d: sync.sync_check(_flat_of((r := _resolved(s, d))[0]), r[1]),
         "copy_plan": lambda s, d: index.copy_plan(built(s, d), "/root/papers_flat"),
         "tokens": lambda s, d: _pick(wordfreq.tokens(corpus(s, d))),
         "tokens_letters": lambda s, d: _pick(_letters(s, d)),
@@ -182,7 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_terms_themes": lambda s, d: wordfreq.top_terms(_counts(s, d), themes=themes(s, d)),
         "facet_labels": _facets,
         "plot_frame": lambda s, d: wordfreq.plot_frame(wordfreq.top_terms(_counts(s, d), themes=themes(s, d))),
-        "stem_examples": lambda s, d: wordfreq.stem_examples(wordfreq.with_stems(wordfreq.without_stops(_letters(s, d)))),
+        "stem_examples": lambda s, d: wordfreq.stem_examples(wordfreq.without_stops(_letters(s, d))),
         "first_k_per_year": lambda s, d: sampling.first_k_per_group(built(s, d), 8).select("id", "year"),
         "sample_k_per_year": lambda s, d: sampling.sample_k_per_group(built(s, d), 5).select("id", "year"),
         "years_covered": lambda s, d: index.years_covered(built(s, d)),

@@ -6,6 +6,8 @@ everything behind the provider works on the pages relation alone.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +33,25 @@ def flat_files(paths: DataFrame) -> DataFrame:
     return paths.select("path", name.alias("filename"), F.regexp_replace(name, r"\.pdf$", "").alias("id"))
 
 
-def pdf_pages(spark: SparkSession, root: str, year_folders: bool = True) -> DataFrame:
-    """(path, pages) by pypdf; pages is null where a file can't be read."""
+def _by_pypdf(data: bytes) -> list[str]:
+    import io
+
+    from pypdf import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
 
-    def read(batches):
-        import io
 
+def pdf_pages(spark: SparkSession, root: str, year_folders: bool = True, decode=None) -> DataFrame:
+    """(path, pages) by pypdf, or by another decoder of a file's bytes; pages is null where a file can't be read."""
+
+    def read(batches):
         import pandas as pd
-        from pypdf import PdfReader
 
         for batch in batches:
             pages = []
             for data in batch["content"]:
                 try:
-                    pages.append([p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages])
+                    pages.append((decode or _by_pypdf)(data))
                 except Exception:  # one unreadable file is one null, not a failed job
                     pages.append(None)
             yield pd.DataFrame({"path": batch["path"], "pages": pages})
@@ -55,6 +62,7 @@ def pdf_pages(spark: SparkSession, root: str, year_folders: bool = True) -> Data
     return files.select("path", "content").mapInPandas(read, "path string, pages array<string>")
 
 
+#: CSV is read with multiLine, as fields may hold line ends: a file is one task, so write many.
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(**CSV_READ).csv(path)
 
@@ -75,6 +83,16 @@ def read_fixes(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, MANUAL_FIXES)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a local master without one uses its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """Checkpoint of a stage as Parquet, read back."""
     df.write.mode("overwrite").parquet(path)
