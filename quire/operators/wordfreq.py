@@ -12,6 +12,8 @@ from quire.functions.text import or_na
 
 #: Letters, digits and underscores, joined by inner apostrophes and stops, and numbers by commas.
 TOKEN = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+|,\p{N}+)*"
+#: The same without steps back, which none of its parts needs: faster where the engine knows it.
+TOKEN_ONCE = r"[\p{L}\p{N}_]++(?:['’.][\p{L}\p{N}_]++|,\p{N}++)*+"
 LETTERS = "^[a-z]+$"
 STOPS = tuple(sorted({*ENGLISH, *CUSTOM}))
 
@@ -24,7 +26,7 @@ def build_corpus(index: DataFrame, pages: DataFrame) -> DataFrame:
 
 def tokens(corpus: DataFrame) -> DataFrame:
     """(id, year, pos, word): lower-case words in turn; a null text has none."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_ONCE), F.lit(0))
     return corpus.select("id", "year", F.posexplode(found).alias("pos", "word"))
 
 
@@ -68,11 +70,13 @@ def token_funnel(corpus: DataFrame) -> DataFrame:
 
 
 def word_counts(corpus: DataFrame, stem: bool = True, stops: DataFrame | None = None) -> DataFrame:
-    """(year, word, n).  Words are counted before they are stemmed: the texts are read once, nothing is joined."""
+    """(year, word, n).  Words are counted before they are stemmed, each word once with its years: the
+    texts are read once, nothing is joined."""
     counts = without_stops(letters_only(tokens(corpus).select("year", "word")), stops).groupBy("year", "word").agg(F.count("*").alias("n"))
     if not stem:
         return counts
-    return stemmed(counts).groupBy("year", F.col("stem").alias("word")).agg(F.sum("n").alias("n"))
+    by_word = counts.groupBy("word").agg(F.collect_list(F.struct("year", "n")).alias("years"))
+    return stemmed(by_word).select("stem", F.inline("years")).groupBy("year", F.col("stem").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def top_terms(counts: DataFrame, k: int = 10, ties: bool = True, themes: DataFrame | None = None) -> DataFrame:

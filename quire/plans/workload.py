@@ -14,8 +14,16 @@ from quire.schemas import PAPER_INDEX
 from quire.sources import papers as io
 
 
+#: Bytes up to which a table of few files is dealt out after the scan.
+FEW_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  A small one in fewer files than there are cores may be one row group, which one task
+    reads: it is dealt out; the size that allows it is checked, so a large table is never shuffled here."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= FEW_BYTES and len(df.inputFiles()) < cores else df
 
 
 def paper_pages(docs: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ def fixes(s: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.duplicate_pairs(built(s, d))
+    return dedupe.duplicate_pairs(stored(s, d))
 
 
 def duplicates(idx: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def _boilerplate(s: SparkSession, d: str) -> DataFrame:
 
 
 def _jaro(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.scored(dedupe.candidate_pairs(built(s, d)))
+    return dedupe.scored(dedupe.candidate_pairs(stored(s, d)))
 
 
 def _csv(s: SparkSession, d: str) -> DataFrame:
@@ -167,7 +175,7 @@ def _path(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def titles(s: SparkSession, d: str) -> DataFrame:
-        return dedupe.exact_title_duplicates(built(s, d)).select("id", "year", "title")
+        return dedupe.exact_title_duplicates(stored(s, d)).select("id", "year", "title")
 
     return {
         "word_count": lambda s, d: _text(s, d, n=word_count),
@@ -192,11 +200,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rows_update_skip_blank": lambda s, d: index.apply_fixes(i := stored(s, d), fixes(s, d, i), "skip_blank").select("id", "title", "first_author"),
         "changed_to": lambda s, d: fixes(s, d).select("ID", changed_to(F.col("first_author_new")).alias("author"), changed_to(F.col("title_actual")).alias("title")),
         "exact_title_duplicates": titles,
-        "candidate_pairs": lambda s, d: dedupe.candidate_pairs(built(s, d)).select("id_a", "id_b", "word_count_a"),
+        "candidate_pairs": lambda s, d: dedupe.candidate_pairs(stored(s, d)).select("id_a", "id_b", "word_count_a"),
         "jaro_scores": _jaro,
         "duplicate_pairs": pairs,
-        "duplicate_pairs_strict": lambda s, d: dedupe.duplicate_pairs(built(s, d), dedupe.STRICT),
-        "duplicate_pairs_moderate": lambda s, d: dedupe.duplicate_pairs(built(s, d), dedupe.MODERATE),
+        "duplicate_pairs_strict": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.STRICT),
+        "duplicate_pairs_moderate": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.MODERATE),
         "expand_duplicates": lambda s, d: dedupe.ordered(duplicates(stored(s, d))),
         "duplicate_pairs_strict_all": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.STRICT, None),
         "duplicate_pairs_moderate_all": lambda s, d: dedupe.duplicate_pairs(stored(s, d), dedupe.MODERATE, None),
