@@ -4,11 +4,12 @@ A paragraph is a line with a word; long lines are read in overlapping windows of
 words, so nothing is cut off.  A cell's features are the word 1-, 2- and 3-grams of a vocabulary that it
 holds, each counted once; a sparse multinomial logistic regression (L1) gives each licence family, `unknown` (a
 licence, no known family) and `none` a probability.  It is trained here on the notices in NOTICES,
-cropped, thinned and set among other words, against lines of a bounded sample of SAMPLE documents
-that mention no licence.  A temperature, fitted on held-out variants, calibrates the probabilities;
-a family whose calibrated probability stays below the level that MISSED of the held-out notices
-miss counts as `unknown`.  A predicted family is confirmed where the window holds AGREE or more of
-the word pairs of one of the family's notices; an unconfirmed one counts as `unknown` if it is
+cropped, thinned and set among other words, and the names in NAMES set in WORDINGS, against lines of a bounded sample of SAMPLE documents
+that mention no licence.  A temperature, fitted on held-out variants and on wordings that the fit never
+saw, calibrates the probabilities; a family whose calibrated probability stays below the level that
+MISSED of the held-out notices miss counts as `unknown`.  A predicted family is confirmed where the
+window holds AGREE or more of the word pairs of one of the family's notices or names, or where that
+share of a window of WRAPPED words or more stands in a notice, as in wrapped licence texts; an unconfirmed one counts as `unknown` if it is
 surely a licence (SURE), else as none.
 
 The scan is narrow: no shuffle, and the model that goes to the tasks is bounded by NOTICES.
@@ -30,11 +31,12 @@ from quire.llm.common import coded_words
 
 CELL = 24
 SAMPLE, SAMPLE_LINES, SAMPLE_CHARS = 200, 20, 400
-VARIANTS = 24
+VARIANTS, NAMED_VARIANTS = 32, 4
 MISSED = 0.01
 AGREE = 0.7
 SURE = 0.9
-L1 = 2e-4
+WRAPPED = 8
+L1 = 5e-5
 #: Bytes of text handled at a time.
 SLICE = 4 << 20
 FOUND = "doc_id bigint, paragraph int, family string, probability double, similarity double, confirmed boolean"
@@ -59,6 +61,7 @@ NOTICES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "CC-BY": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -77,6 +80,10 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal.",
         "Dedicated to the public domain under CC0 1.0.",
     ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
@@ -98,6 +105,7 @@ NOTICES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -111,6 +119,32 @@ NOTICES = {
         "Distributed under the terms of the license that accompanies this work.",
     ),
 }
+#: Names of licences by family.  Each also counts as a template.
+NAMES = {
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPLv3", "AGPL-3.0"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache Software License"),
+    "BSD": ("BSD license", "BSD 3-Clause License", "BSD-2-Clause", "New BSD License", "BSD-style license"),
+    "CC-BY": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 3.0"),
+    "CC-BY-NC": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC 3.0"),
+    "CC-BY-SA": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0"),
+    "CC0": ("CC0", "CC0 1.0 Universal", "Creative Commons Zero"),
+    "EPL": ("Eclipse Public License 2.0", "Eclipse Public License", "EPL-2.0"),
+    "GPL": ("GNU General Public License", "GNU GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL version 2"),
+    "ISC": ("ISC License", "ISC licence"),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPLv3", "LGPL-2.1"),
+    "MIT": ("MIT License", "MIT licence", "MIT-licensed"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License", "MPL 2.0"),
+}
+#: Wordings that names are set into for the fit, and others that only calibrate.
+WORDINGS = (
+    "{}", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.",
+    "Available under {}.", "This software is {} licensed.", "License: {}", "Copyright 2020 the authors, {}.", "under a {} licence",
+    "It is free software under the {}, either version 2 of the license, or any later version.", "{} or later", "dedicated to the public domain ({})",
+)
+HELD_WORDINGS = (
+    "Made available under the {}.", "The code is published under the {} or later.", "All files are covered by the {}.",
+    "Use of this file is governed by the {}.", "Our library is {} and free to use.",
+)
 #: Sentences that mention such words and are no licence.
 OTHER = (
     "He lost his driving license on the way home and had to apply for a new one.",
@@ -180,7 +214,7 @@ def _variants(words: list[bytes], fill: list[list[bytes]], rng: np.random.Genera
     out = [list(words)]
     while len(out) < count:
         n = len(words)
-        keep = n if n < 12 else int(rng.integers(max(8, int(0.7 * n)), n + 1))
+        keep = n if n < 12 else int(rng.integers(8, n + 1))
         first = int(rng.integers(0, n - keep + 1))
         own = [w for w in words[first : first + keep] if n < 8 or rng.random() > 0.04]
         if fill and rng.random() < 0.5:
@@ -195,11 +229,13 @@ def train(lines: list[str], seed: int = 7) -> Model:
     """Fits the classifier to the notices against `lines`, which hold no licence."""
     rng = np.random.default_rng(seed)
     notices = [(c, plain(t).split()) for c, ts in NOTICES.items() for t in ts]
+    named = [(c, plain(w.format(n)).split()) for c, ns in NAMES.items() for n in ns for w in WORDINGS]
+    calibrating = [(c, plain(w.format(n)).split()) for c, ns in NAMES.items() for n in ns for w in HELD_WORDINGS]
     other = [plain(t).split() for t in OTHER]
-    words = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in notices for w in ws} | {w for ws in other for w in ws}))}
+    words = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in notices + named for w in ws} | {w for ws in other for w in ws}))}
     base = len(words) + 1
     keys = set()
-    for ws in [ws for _, ws in notices] + other:
+    for ws in [ws for _, ws in notices + named] + other:
         ids = [words[w] for w in ws]
         for i in range(len(ids)):
             keys.add(ids[i])
@@ -210,21 +246,24 @@ def train(lines: list[str], seed: int = 7) -> Model:
     model = Model(words, np.array(sorted(keys), np.int64))
     fill = [ws for ws in (plain(x).split() for x in lines) if ws]
     rows = [(CLASSES.index(c), v) for c, ws in notices for v in _variants(ws, fill, rng, VARIANTS)]
+    rows += [(CLASSES.index(c), v) for c, ws in named for v in _variants(ws, fill, rng, NAMED_VARIANTS)]
     rows += [(0, v) for ws in other for v in _variants(ws, fill, rng, VARIANTS)]
     rows += [(0, ws[i : i + 2 * CELL]) for ws in fill for i in range(0, len(ws), 2 * CELL)]
     rng.shuffle(rows)
+    fitted = len(rows)
+    rows += [(CLASSES.index(c), v) for c, ws in calibrating for v in _variants(ws, fill, rng, NAMED_VARIANTS)]
     ids, places = model.numbers([b" ".join(v) for _, v in rows])
     owner = np.repeat(np.arange(len(rows)), np.diff(places))
     at, feature = model.grams(ids, owner)
     x = np.zeros((len(rows), len(model.keys)), np.float32)
     x[owner[at], feature] = 1
     y = np.array([c for c, _ in rows])
-    held = np.arange(len(rows)) % 5 == 0
+    held = (np.arange(len(rows)) % 5 == 0) | (np.arange(len(rows)) >= fitted)
     hot = np.eye(len(CLASSES), dtype=np.float32)[y[~held]]
     xt, w, b = x[~held], np.zeros((len(model.keys), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
     step = 1.0 / (0.25 * np.mean((xt * xt).sum(axis=1)) + 1)
     vw, vb = w.copy(), b.copy()
-    for t in range(400):  # accelerated proximal gradient: L1 keeps the weights sparse
+    for t in range(500):  # accelerated proximal gradient: L1 keeps the weights sparse
         z = xt @ vw + vb
         z = np.exp(z - z.max(axis=1, keepdims=True))
         slope = (z / z.sum(axis=1, keepdims=True) - hot) / len(xt)
@@ -248,10 +287,13 @@ def train(lines: list[str], seed: int = 7) -> Model:
 
 
 def sample_lines(docs: DataFrame) -> list[str]:
-    """Lines of SAMPLE documents without mention of a licence; the bound is documents x lines x characters."""
+    """Lines of SAMPLE documents without mention of a licence; the bound is documents x lines x characters.
+    A bound on the hash leaves about twice as many documents, whose texts alone are split and sorted."""
+    order = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1 << 40))
+    share = min(1.0, 2 * (SAMPLE + 50) / max(1, docs.count()))
     few = (
-        docs.filter(F.col("text").isNotNull())
-        .select(F.xxhash64("doc_id", F.lit("licence")).alias("h"), "text")
+        docs.filter(F.col("text").isNotNull() & (order < int(share * (1 << 40))))
+        .select(order.alias("h"), "text")
         .select("h", F.transform(F.slice(F.split("text", "\n", SAMPLE_LINES + 1), 1, SAMPLE_LINES), lambda x: F.substring(x, 1, SAMPLE_CHARS)).alias("lines"))
         .select("h", F.filter("lines", lambda x: ~x.rlike(MENTIONS)).alias("lines"))
         .orderBy("h", "lines")
@@ -263,11 +305,13 @@ def sample_lines(docs: DataFrame) -> list[str]:
 class Scanner:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.templates = {c: [_pairs(plain(t).split()) for t in ts] for c, ts in NOTICES.items()}
+        self.templates = {c: [_pairs(plain(t).split()) for t in (*ts, *NAMES.get(c, ()))] for c, ts in NOTICES.items()}
 
     def similarity(self, family: str, words: list[bytes]) -> float:
-        own = _pairs(words)
-        return max(len(t & own) / len(t) for t in self.templates[family])
+        """The most of a template that the words hold; for WRAPPED words or more also the most of theirs that a template holds."""
+        pairs = _pairs(words)
+        own, most = pairs | set(words), len(pairs) if len(words) >= WRAPPED else 1 << 30
+        return max(max(len(t & own) / len(t), len(t & pairs) / most) for t in self.templates[family])
 
     def scan(self, texts: list[bytes]) -> tuple[list[int], list[tuple[int, int, str, float, float, bool]]]:
         """Paragraphs of each text, and (text, line, family, probability, similarity, confirmed) in order."""

@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from quire.llm import decontamination, ngram_join, packing, quality_classifier, secret_scan
+from quire.llm import decontamination, license_scan, ngram_join, packing, quality_classifier, secret_scan
 
 SF1 = "/root/testdata/sf0.001"
 
@@ -160,3 +160,27 @@ def test_quality_features_fold_and_order(spark):
     # the labels of held-out rows are never read
     flipped = labels.selectExpr("doc_id", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, 1 - quality, quality) AS quality", "toxic")
     assert all(abs(x["score"] - one[x["doc_id"]]["score"]) < 1e-9 for x in quality_classifier.query(docs, flipped).collect())
+
+
+def test_licences_in_wordings_that_no_fit_saw(spark):
+    """Names in wordings that neither fit nor calibration has, among other words: nine in ten of each
+    family; wrapped lines of notices; and mentions that are no licence."""
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    lines = license_scan.sample_lines(docs)
+    scanner = license_scan.Scanner(license_scan.train(lines))
+    fill, r = " ".join(lines).split(), random.Random(7)
+    own = ("This package comes with the {}.", "we ship it under {} terms", "see LICENSE ({}) for details", "Code in this folder falls under the {}")
+    assert not {*own} & {*license_scan.WORDINGS, *license_scan.HELD_WORDINGS}
+    recall = {}
+    for family, names in license_scan.NAMES.items():
+        hits = []
+        for name, wording in itertools.product(names, own):
+            at = r.randrange(1000)
+            text = " ".join([*fill[at : at + r.randrange(10)], wording.format(name), *fill[at + 50 : at + 50 + r.randrange(10)]])
+            hits.append(family in {f[2] for f in scanner.scan([text.encode()])[1]})
+        recall[family] = sum(hits) / len(hits)
+    print(recall)
+    assert min(recall.values()) >= 0.9
+    wrapped = [("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"), ("GPL", "under the terms of the GNU General Public License as published by")]
+    assert all(f in {x[2] for x in scanner.scan([t.encode()])[1]} for f, t in wrapped)
+    assert all(not scanner.scan([t.encode()])[1] for t in (*license_scan.OTHER, "A report from MIT on public art."))
