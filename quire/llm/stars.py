@@ -6,7 +6,9 @@
    elements two sets differ in.
 2. In a bucket, the sets of a signature form a star: its least node is the centre, and the others
    are paired with it, so a group of n gives n - 1 pairs.  Pairs are packed, dealt by member and
-   counted.
+   counted.  A signature that HOT sets or more of one slice share forms a star in the slice already,
+   and its centre alone goes to the bucket; the members are then paired with their centre's centres
+   too, so that all sets of a signature still share one.
 3. Pairs that pass the sketch are verified by their whole sets: of each member first the one with
    the centre that shares most of its signatures; components are formed, and then the pairs that
    still join two components follow.
@@ -38,6 +40,10 @@ BUCKET_CHARS = 10_000_000
 #: Bytes of text that are read at a time.
 SLICE = 2 << 20
 TILE, TILES_A_GROUP = 2048, 8
+#: Sets of a slice with one signature, from which on their centre stands for them in the bucket.
+HOT = 64
+#: Added to the count of a pair for each signature that a slice's centre stands for.
+LOCAL = 1 << 40
 SKETCH_LEAST, SKETCH_MOST = 256, 1 << 15
 U = np.uint64
 #: texts -> (text number, line, size, node or -1, set) of every place, and (print, text number) of every print.
@@ -84,6 +90,10 @@ MARKED = (np.int64, np.int64, np.int64)
 PLACED = (np.int64, np.uint8, np.int64, np.int32, np.int64, np.int64)
 
 
+#: Member, centre, signatures that they share.
+PAIRS = (np.int64, np.int64, np.int64)
+
+
 def _pack(*tables: list[np.ndarray]) -> bytes:
     return b"".join([np.array([len(t[0]) for t in tables], np.int64).tobytes(), *(c.tobytes() for t in tables for c in t)])
 
@@ -143,22 +153,41 @@ def dealt(docs: DataFrame, read: Reader, sign: Signer, buckets: int) -> DataFram
                 names, at = np.unique(node[use], return_index=True)
                 own = [sets[i] for i in use[at].tolist()]
                 keys, owner = sign(own) if own else (np.empty(0, U), np.empty(0, np.int64))
-                signed = _by_bucket((keys % U(buckets)).astype(np.int64), [*_short(keys), names[owner]])
+                keys, nodes, near = condensed(keys, names[owner])
+                signed = _by_bucket((keys % U(buckets)).astype(np.int64), [*_short(keys), nodes])
+                near = _by_bucket(*_dealt_again(near, buckets))
                 marks = [sketch(x) for x in own]
                 marked = _by_bucket(names % buckets, [np.arange(len(names))])
                 columns = [doc, known.astype(np.uint8), th, line.astype(np.int32), size.astype(np.int64), node.astype(np.int64)]
                 placed = _by_bucket((mix(doc.view(U) + U(1)) % U(buckets)).astype(np.int64), columns)
-                where, blocks = sorted({*signed, *marked, *placed, *printed}), []
+                where, blocks = sorted({*signed, *marked, *placed, *printed, *near}), []
                 for b in where:
                     mine = marked[b][0].tolist() if b in marked else []
                     table = [names[mine], np.array([len(own[i]) for i in mine], np.int64), np.array([len(marks[i]) for i in mine], np.int64)] if mine else _empty(MARKED)
-                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED), printed.get(b) or _empty(SIGNED)))
+                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED), printed.get(b) or _empty(SIGNED), near.get(b) or _empty(PAIRS)))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
         handed_back()
 
     return texts_of(docs).mapInArrow(rows, "bucket int, block binary")
 
 
+def condensed(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Signatures to send, their nodes, and (member, centre, n) of the stars of those that HOT nodes or more share."""
+    ordered = np.sort(keys)
+    hot = np.unique(ordered[HOT - 1 :][ordered[HOT - 1 :] == ordered[: len(ordered) - HOT + 1]]) if len(ordered) >= HOT else ordered[:0]
+    if not len(hot):
+        return keys, nodes, tuple(_empty(PAIRS))
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    own = np.flatnonzero(hot[at] == keys)
+    centre = np.full(len(hot), np.iinfo(np.int64).max)
+    np.minimum.at(centre, at[own], nodes[own])
+    apart = nodes[own] != centre[at[own]]
+    keep = np.ones(len(keys), bool)
+    keep[own[apart]] = False
+    own = own[apart]
+    return keys[keep], nodes[keep], counted(nodes[own], centre[at[own]], np.full(len(own), LOCAL + 1))
+
+
 def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(member, centre, signatures they share) of every signature's star."""
     ordered = np.sort(keys)
@@ -199,16 +228,14 @@ def _dealt_again(columns: tuple, buckets: int) -> tuple[np.ndarray, list[np.ndar
     return (mix(columns[0].view(U)) % U(buckets)).astype(np.int64), list(columns)
 
 
-PAIRS = (np.int64, np.int64, np.int64)
-
-
 def swept(blocks: DataFrame, buckets: int) -> DataFrame:
     """The places, each different node's size and sketch, and the stars' pairs in blocks by member."""
 
     def sweep(key, table):
-        parts = _together(table.column("block"), SIGNED, MARKED, (np.uint8,), PLACED, SIGNED)
-        (high, low, nodes), (name, n, width), (raw,), (doc, known, th, line, size, node), (*prints, printed) = parts
-        packed = _by_bucket(*_dealt_again(stars(_long(high, low), nodes), buckets))
+        parts = _together(table.column("block"), SIGNED, MARKED, (np.uint8,), PLACED, SIGNED, PAIRS)
+        (high, low, nodes), (name, n, width), (raw,), (doc, known, th, line, size, node), (*prints, printed), near = parts
+        both = counted(*(np.concatenate(c) for c in zip(stars(_long(high, low), nodes), near, strict=True)))
+        packed = _by_bucket(*_dealt_again(both, buckets))
         twice = _by_bucket(*_dealt_again(again(_long(*prints), printed), buckets))
         end = np.cumsum(width)
         _, one = np.unique(name, return_index=True)
@@ -233,13 +260,25 @@ def swept(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(a, b, shared): each member with each of its centres."""
+    """(a, b, shared, local): each member with each of its centres; local: one that stands for it in a bucket."""
 
     def merge(key, table):
         member, centre, n = counted(*_together(table.column("block"), PAIRS)[0])
-        return pa.table({"a": member, "b": centre, "shared": n})
+        return pa.table({"a": member, "b": centre, "shared": n % LOCAL, "local": n >= LOCAL})
+
+    return found.filter("kind = 2").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, shared bigint, local boolean")
 
-    return found.filter("kind = 2").select("bucket", "block").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, shared bigint")
+
+def with_further_centres(pairs: DataFrame) -> DataFrame:
+    """Adds each member's pairs with the centres of the centre that stood for it."""
+    near = pairs.filter("local").select("a", F.col("b").alias("c"))
+    if near.isEmpty():
+        return pairs
+    more = near.join(pairs.select(F.col("a").alias("c"), "b"), "c").select("a", "b").filter("a <> b").distinct()
+    more = more.join(pairs, ["a", "b"], "left_anti").select("a", "b", F.lit(0).cast("long").alias("shared"), F.lit(False).alias("local"))
+    out = staged(pairs.unionByName(more), "pairs")
+    dropped(pairs)
+    return out
 
 
 def repeated_prints(found: DataFrame) -> DataFrame:
@@ -272,7 +311,7 @@ def passing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         handed_back()
 
     own, of = marks.toDF("a", "n", "x"), marks.toDF("b", "m", "y")
-    joined = pairs.join(own, "a").join(of, "b").select("a", "b", "shared", "n", "m", "x", "y")
+    joined = pairs.select("a", "b", "shared").join(own, "a").join(of, "b").select("a", "b", "shared", "n", "m", "x", "y")
     return joined.mapInArrow(close, "a bigint, b bigint, shared bigint")
 
 
@@ -409,7 +448,7 @@ def linked(docs: DataFrame, read: Reader, sign: Signer, chars: int | None = None
     places = found.filter("kind = 0").select("doc_id", "th", "line", "size", F.when(F.col("node") >= 0, F.col("node")).alias("node"))
     marks = found.filter("kind = 1").select("node", F.col("size").alias("n"), F.col("block").alias("marks"))
     held = places.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    pairs = staged(candidates(found), "pairs")
+    pairs = with_further_centres(staged(candidates(found), "pairs"))
     close = staged(passing(pairs, marks), "close")
     best = close.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     labels, none = None, docs.sparkSession.createDataFrame([], "node bigint, component bigint")

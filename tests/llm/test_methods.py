@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from quire.llm import decontamination, license_scan, ngram_join, packing, quality_classifier, secret_scan
+from quire.llm import decontamination, license_scan, ngram_join, packing, quality_classifier, secret_scan, stars
 
 SF1 = "/root/testdata/sf0.001"
 
@@ -86,8 +86,10 @@ def test_part_enum_signs_no_empty_subset():
     assert len(keys) < 2 * sum(map(len, sets))
 
 
-def test_join_of_near_copies_in_one_star(spark):
+@pytest.mark.parametrize("hot", [4, 64])
+def test_join_of_near_copies_in_one_star(spark, monkeypatch, hot):
     """A hot group: copies of one text with some words changed, on both sides of the threshold."""
+    monkeypatch.setattr(stars, "HOT", hot)
     base = words(1, 200)
     r = random.Random(2)
     texts = []
@@ -184,3 +186,14 @@ def test_licences_in_wordings_that_no_fit_saw(spark):
     wrapped = [("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"), ("GPL", "under the terms of the GNU General Public License as published by")]
     assert all(f in {x[2] for x in scanner.scan([t.encode()])[1]} for f, t in wrapped)
     assert all(not scanner.scan([t.encode()])[1] for t in (*license_scan.OTHER, "A report from MIT on public art."))
+
+
+def test_condensed_signatures():
+    rng = np.random.default_rng(9)
+    keys, nodes = rng.integers(0, 40, 6000).astype(np.uint64), rng.integers(0, 3000, 6000)
+    kept, own, (member, centre, n) = stars.condensed(keys, nodes)
+    want = {(int(k), int(x)) for k, x in zip(keys, nodes, strict=True)}
+    assert {(int(k), int(x)) for k, x in zip(kept, own, strict=True)} <= want and len({int(k) for k in kept}) == 40
+    least = {k: min(x for q, x in want if q == k) for k, _ in want}
+    assert {(int(a), int(b)) for a, b in zip(member, centre, strict=True)} == {(x, least[k]) for k, x in want if x != least[k]}
+    assert (n > stars.LOCAL).all()
