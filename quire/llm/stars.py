@@ -38,7 +38,7 @@ from quire.llm.components import components
 NUM, DEN = 4, 5
 BUCKET_CHARS = 10_000_000
 #: Bytes of text that are read at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 TILE, TILES_A_GROUP = 2048, 8
 #: Sets of a slice with one signature, from which on their centre stands for them in the bucket.
 HOT = 64
