@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document; the ledger keeps the measurements and one bit per
-failed rule.  A policy is a version name and a mask of the bits that reject; policies and
-ablations read the ledger's bits alone, never the text.
+failed rule.  It is stored, without the texts.  A policy is a version name and a mask of the bits that
+reject; policies and ablations read the stored bits alone.  The pipeline's stage applies its policy
+beside each row instead: joining a stored ledger back would shuffle every text.
 
 Defined cases: null text counts as no words, so every measurement is 0 and the word-count rule
 fails; repeated rows get a ledger row each; other columns of the input, whatever their names,
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import let, words_of
+from quire.llm.common import let, staged, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
@@ -155,7 +156,7 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return verdicts(ledger(docs)).select(
+    return verdicts(staged(ledger(docs), "ledger")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
 
