@@ -88,3 +88,18 @@ def test_a_tile_is_bounded_and_an_empty_table_passes(spark):
         assert len(tiles) == 21 and max(x["count"] for x in tiles) < 160
     assert dedupe.similar_pairs(base).count() == 300 * 299 // 2
     assert dedupe.similar_pairs(base.limit(0)).count() == dedupe.duplicate_pairs(base.limit(0), block_on=None).count() == 0
+
+
+def same_as_sql(spark, name, sf):
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, __spark_entry__.queries()[name](spark, f"/root/testdata/{sf}").collect()), key=str) == sorted(want, key=str)
+
+
+def test_jaro_scores_at_a_tenth(spark):
+    same_as_sql(spark, "jaro_scores", "sf0.1")  # 85307 rows, long titles among them
