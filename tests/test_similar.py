@@ -103,3 +103,7 @@ def same_as_sql(spark, name, sf):
 
 def test_jaro_scores_at_a_tenth(spark):
     same_as_sql(spark, "jaro_scores", "sf0.1")  # 85307 rows, long titles among them
+
+
+def test_all_pairs_of_a_tier_at_a_tenth(spark):
+    same_as_sql(spark, "duplicate_pairs_strict_all", "sf0.1")
