@@ -107,3 +107,8 @@ def test_jaro_scores_at_a_tenth(spark):
 
 def test_all_pairs_of_a_tier_at_a_tenth(spark):
     same_as_sql(spark, "duplicate_pairs_strict_all", "sf0.1")
+
+
+@pytest.mark.parametrize("name", ["expand_duplicates", "sync_check", "duplicate_pairs_moderate", "duplicate_pairs_moderate_all"])
+def test_queries_on_similar_papers_are_sqls(spark, name):
+    same_as_sql(spark, name, "sf0.01")
