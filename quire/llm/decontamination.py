@@ -167,7 +167,8 @@ def frequencies(texts: DataFrame, terms: int) -> tuple[np.ndarray, int]:
             cells, _ = _cells(lens, PASSAGE)
             total += int((-(-lens // PASSAGE)).sum())
             hit = np.flatnonzero(ids)
-            counts += np.bincount(np.unique(cells[hit] * n + ids[hit]) % n, minlength=n)
+            held = _distinct(cells[hit] * n + ids[hit])[0]
+            counts += np.bincount(held % n, minlength=n)
         counts[0] = total
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["term", "n"])
@@ -179,6 +180,13 @@ def frequencies(texts: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return out, int(out[0])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each is there; np.unique may hash, which is slower here."""
+    keys = np.sort(keys)
+    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    return keys[begins], np.diff(begins, append=len(keys))
+
+
 def _gauss(terms: int, rank: int) -> np.ndarray:
     return np.random.default_rng(5).standard_normal((terms, rank), np.float32)
 
@@ -186,8 +194,8 @@ def _gauss(terms: int, rank: int) -> np.ndarray:
 def _tfidf(ids: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (cell, term, weight), each cell of norm 1, in order of cells."""
     use = weights[ids] > 0
-    key, tf = np.unique(cells[use] * len(weights) + ids[use], return_counts=True)
-    cell, term = key // len(weights), key % len(weights)
+    key, tf = _distinct(cells[use] * len(weights) + ids[use])
+    cell, term = np.divmod(key, len(weights))
     w = (tf * weights[term]).astype(np.float32)
     norms = np.sqrt(np.bincount(cell, w * w)) if len(cell) else np.empty(0)
     return cell, term, w / norms[cell] if len(cell) else w
@@ -198,12 +206,30 @@ def _gram(cell: np.ndarray, term: np.ndarray, w: np.ndarray, omega: np.ndarray,
     if not len(cell):
         return
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    z = np.add.reduceat(omega[term] * w[:, None], starts)
+    z = _row_sums(omega, term, w, starts)
     row = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1])))
-    order = np.argsort(term, kind="stable")
+    # numbers of 16 bits are sorted by their digits
+    order = np.argsort(term.astype(np.uint16) if len(omega) <= 1 << 16 else term, kind="stable")
     t = term[order]
     begins = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    out[t[begins]] += np.add.reduceat(z[row[order]] * w[order][:, None], begins)
+    out[t[begins]] += _row_sums(z, row[order], w[order], begins)
+
+
+#: Rows that are gathered and summed at a time: with their columns they fit a core's cache.
+GATHERED = 256
+
+
+def _row_sums(table: np.ndarray, rows: np.ndarray, w: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
+    """np.add.reduceat(table[rows] * w[:, None], starts), by whole sums that hold GATHERED rows or a little more."""
+    out = np.empty((len(starts), table.shape[1]), table.dtype if w is None else np.result_type(table, w))
+    cuts = np.append(np.flatnonzero(np.diff(starts // GATHERED, prepend=-1)), len(starts))
+    for i, j in itertools.pairwise(cuts.tolist()):
+        lo, hi = starts[i], starts[j] if j < len(starts) else len(rows)
+        part = table[rows[lo:hi]]
+        if w is not None:
+            part = part * w[lo:hi, None]
+        np.add.reduceat(part, starts[i:j] - lo, out=out[i:j])
+    return out
 
 
 def latent(texts: DataFrame, group: np.ndarray, items: list[Item], vocabulary: dict[bytes, int], weights: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -331,7 +357,7 @@ class Index:
             part = word_at[lo : lo + BLOCK]
             where = number[cells[part]]
             starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-            latent_[where[starts]] += np.add.reduceat(self.terms[ids[part]], starts)
+            latent_[where[starts]] += _row_sums(self.terms, ids[part], None, starts)
         for lo in range(0, len(live), BLOCK):
             at = live[lo : lo + BLOCK]
             sums = np.zeros((len(at), latent_.shape[1]), np.float32)
