@@ -38,6 +38,24 @@ def test_jaro_of_long_texts_is_linear():
     assert time.perf_counter() - began < 20  # the plain version takes minutes
 
 
+def test_jaro_takes_the_letters_of_the_shorter_text():
+    r = random.Random(4)
+    some = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in [20_000] * 60 + [20] * 30]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60, 90)))
+    began = time.perf_counter()
+    jaro_pairs(Texts(some), a, b)
+    assert time.perf_counter() - began < 2  # by the letters of the first text 5 s and more
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6994, 0.9])
+def test_jaro_with_a_threshold_loses_no_pair(least):
+    r = random.Random(6)
+    some = texts(r, "abcd", 30, 80)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(some)), np.arange(len(some))))
+    full, got = jaro_pairs(Texts(some), a, b), jaro_pairs(Texts(some), a, b, least)
+    assert ((got == full) | ((got == 0) & (full < least))).all() and (full >= least).sum() > len(some)
+
+
 def test_rounding_is_sqls(spark):
     import duckdb
 
@@ -90,6 +108,22 @@ def test_a_tile_is_bounded_and_an_empty_table_passes(spark):
     assert dedupe.similar_pairs(base.limit(0)).count() == dedupe.duplicate_pairs(base.limit(0), block_on=None).count() == 0
 
 
+def test_an_authors_papers_share_a_tile(spark):
+    base = papers(spark, [(f"t{i}", 5, chr(97 + i % 10) + chr(97 + i // 10 % 10) if i < 1000 else "frequent" if i < 1400 else None) for i in range(1500)])
+    sides = dedupe._sides(base, "first_author", "title").withColumn("block", F.lit(5))
+    own = similar.dealt(sides, 100).filter("i = j").groupBy("au").agg(F.count_distinct("tile").alias("tiles"), F.count("*").alias("n")).collect()
+    assert {x["tiles"] for x in own if x["au"] not in ("frequent", None)} == {1} and sum(x["n"] for x in own) == 1500
+    assert {x["au"]: x["tiles"] for x in own}["frequent"] > 10  # one that would fill several tiles is dealt out
+
+
+def test_a_low_tier_has_no_classes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dedupe, "similar", lambda rows, *a: seen.append(rows) or similar.similar(rows, *a))
+    base = papers(spark, [("x" * n, 5, "a") for n in (1, 9, 10, 100, 1000)])
+    dedupe.duplicate_pairs(base, dedupe.MODERATE, None)
+    assert seen[0].count() == 5 and seen[0].select("block").distinct().count() == 1  # each paper was in two classes
+
+
 def same_as_sql(spark, name, sf):
     import duckdb
 
@@ -109,6 +143,10 @@ def test_all_pairs_of_a_tier_at_a_tenth(spark):
     same_as_sql(spark, "duplicate_pairs_strict_all", "sf0.1")
 
 
+def test_all_pairs_of_a_low_tier_at_a_tenth(spark):
+    same_as_sql(spark, "duplicate_pairs_moderate_all", "sf0.1")
+
+
 @pytest.mark.parametrize("name", ["expand_duplicates", "sync_check", "duplicate_pairs_moderate", "duplicate_pairs_moderate_all"])
 def test_queries_on_similar_papers_are_sqls(spark, name):
     same_as_sql(spark, name, "sf0.01")
