@@ -116,6 +116,17 @@ def test_an_authors_papers_share_a_tile(spark):
     assert {x["au"]: x["tiles"] for x in own}["frequent"] > 10  # one that would fill several tiles is dealt out
 
 
+def test_only_titles_that_meet_are_spelled_out(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(similar, "Texts", lambda texts: seen.append(sorted(texts)) or Texts(texts))
+    n, authors = 6, ["smith", "smith", "jones", "brown", "smiht", "miller"]
+    table = pa.table({"block": [1] * n, "i": [0] * n, "j": [0] * n, "tile": [0] * n, "own": [True] * n, "id": list("abcdef"), "word_count": [5] * n, "au": authors, "ti": ["wheat", "wheta", "w", "wh", "x" * 90, "y"]})
+    got = [tuple(x.values()) for batch in similar._pairs(table, (0.9, 0.9)) for x in batch.to_pylist()]
+    assert [(a, b) for a, b, *_ in got] == [("a", "b")] and seen[1:] == [["wheat", "wheta"]]  # all six titles were
+
+
 def test_a_low_tier_has_no_classes(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(dedupe, "similar", lambda rows, *a: seen.append(rows) or similar.similar(rows, *a))
