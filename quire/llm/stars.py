@@ -47,9 +47,10 @@ LOCAL = 1 << 40
 SKETCH_LEAST, SKETCH_MOST = 256, 1 << 15
 U = np.uint64
 #: texts -> (text number, line, size, node or -1, set) of every place, and (print, text number) of every print.
+#: The sets are a list, or give one by its number and some as a `Flat` by `picked`.
 Reader = Callable[[list], tuple]
-#: sets -> (signatures, set number of each).
-Signer = Callable[[list], tuple]
+#: sets (Flat) -> (signatures, set number of each).
+Signer = Callable[["Flat"], tuple]
 #: Rows of a place (kind 0), a node with its sketch (1), a block of pairs (2) and one of prints (3).
 FOUND = "kind int, doc_id bigint, th bigint, line int, size bigint, node bigint, bucket int, block binary"
 
@@ -60,6 +61,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+class Flat:
+    """Sets in one array: the elements of set i are items[places[i] : places[i + 1]]."""
+
+    def __init__(self, items: np.ndarray, places: np.ndarray) -> None:
+        self.items, self.places = items, places
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray] | Flat) -> Flat:
+        return sets if isinstance(sets, Flat) else cls(np.concatenate([np.empty(0, U), *sets]), np.cumsum([0, *map(len, sets)]))
+
+    def __len__(self) -> int:
+        return len(self.places) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i >= len(self):
+            raise IndexError(i)
+        return self.items[self.places[i] : self.places[i + 1]]
+
+
 def text_slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE):
     """(first row, texts) of a batch, about `size` bytes at a time; a longer text is a slice of its own."""
     texts = batch.column(column)
@@ -151,20 +171,23 @@ def dealt(docs: DataFrame, read: Reader, sign: Signer, buckets: int) -> DataFram
                 known, doc, th = valid[of], doc[of], th[of]
                 use = np.flatnonzero((node >= 0) & known)
                 names, at = np.unique(node[use], return_index=True)
-                own = [sets[i] for i in use[at].tolist()]
-                keys, owner = sign(own) if own else (np.empty(0, U), np.empty(0, np.int64))
+                order = np.argsort(names % buckets, kind="stable")
+                names, at = names[order], use[at[order]]
+                own = sets.picked(at) if hasattr(sets, "picked") else Flat.of([sets[i] for i in at.tolist()])
+                keys, owner = sign(own) if len(own) else (np.empty(0, U), np.empty(0, np.int64))
                 keys, nodes, near = condensed(keys, names[owner])
                 signed = _by_bucket((keys % U(buckets)).astype(np.int64), [*_short(keys), nodes])
                 near = _by_bucket(*_dealt_again(near, buckets))
-                marks = [sketch(x) for x in own]
+                marks, width = sketches(own)
+                end = np.concatenate(([0], np.cumsum(width)))
                 marked = _by_bucket(names % buckets, [np.arange(len(names))])
                 columns = [doc, known.astype(np.uint8), th, line.astype(np.int32), size.astype(np.int64), node.astype(np.int64)]
                 placed = _by_bucket((mix(doc.view(U) + U(1)) % U(buckets)).astype(np.int64), columns)
                 where, blocks = sorted({*signed, *marked, *placed, *printed, *near}), []
                 for b in where:
-                    mine = marked[b][0].tolist() if b in marked else []
-                    table = [names[mine], np.array([len(own[i]) for i in mine], np.int64), np.array([len(marks[i]) for i in mine], np.int64)] if mine else _empty(MARKED)
-                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [np.frombuffer(b"".join(marks[i] for i in mine), np.uint8)], placed.get(b) or _empty(PLACED), printed.get(b) or _empty(SIGNED), near.get(b) or _empty(PAIRS)))
+                    lo, hi = (marked[b][0][0], marked[b][0][-1] + 1) if b in marked else (0, 0)
+                    table = [names[lo:hi], np.diff(own.places[lo : hi + 1]), width[lo:hi]]
+                    blocks.append(_pack(signed.get(b) or _empty(SIGNED), table, [marks[end[lo] : end[hi]]], placed.get(b) or _empty(PLACED), printed.get(b) or _empty(SIGNED), near.get(b) or _empty(PAIRS)))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
         handed_back()
 
@@ -239,7 +262,9 @@ def swept(blocks: DataFrame, buckets: int) -> DataFrame:
         twice = _by_bucket(*_dealt_again(again(_long(*prints), printed), buckets))
         end = np.cumsum(width)
         _, one = np.unique(name, return_index=True)
-        marks = [raw[end[i] - width[i] : end[i]].tobytes() for i in one.tolist()]
+        ends = np.cumsum(width[one])
+        marks = raw[np.arange(ends[-1] if len(one) else 0) + np.repeat(end[one] - ends, width[one])]
+        marks = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(marks)])
         m, k = len(doc), len(one)
         where, blocks_ = [*packed, *twice], [_pack(c) for c in (*packed.values(), *twice.values())]
         rest = k + len(where)
@@ -250,8 +275,8 @@ def swept(blocks: DataFrame, buckets: int) -> DataFrame:
             pa.array(np.concatenate((line, np.zeros(rest, np.int32)))),
             pa.array(np.concatenate((size, n[one], np.zeros(len(where), np.int64)))),
             pa.array(np.concatenate((node, name[one], np.zeros(len(where), np.int64)))),
-            pa.array([None] * (m + k) + where, pa.int32()),
-            pa.array([None] * m + marks + blocks_, pa.binary()),
+            pa.concat_arrays([pa.nulls(m + k, pa.int32()), pa.array(where, pa.int32())]),
+            pa.concat_arrays([pa.nulls(m, pa.binary()), marks, pa.array(blocks_, pa.binary())]),
         ]
         handed_back()
         return pa.Table.from_arrays(own, ["kind", "doc_id", "th", "line", "size", "node", "bucket", "block"])
@@ -366,12 +391,23 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, read: Reader)
     return good
 
 
+def sketches(sets: Flat) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches of the sets in turn, bytes of each).  A sketch holds the parities of the elements in each cell:
+    two sets differ in as many elements as cells, or more."""
+    n = np.diff(sets.places)
+    cells = np.full(len(n), SKETCH_LEAST)
+    while (more := cells < np.minimum(2 * n, SKETCH_MOST)).any():
+        cells[more] *= 2
+    width = cells // 8
+    cell = (sets.items & np.repeat((cells - 1).astype(U), n)).astype(np.int64)
+    out = np.zeros(int(width.sum()), np.uint8)
+    np.bitwise_xor.at(out, np.repeat(np.cumsum(width) - width, n) + (cell >> 3), (128 >> (cell & 7)).astype(np.uint8))
+    return out, width
+
+
 def sketch(items: np.ndarray) -> bytes:
-    """Parities of the elements in each cell: two sets differ in as many elements as cells, or more."""
-    cells = SKETCH_LEAST
-    while cells < min(2 * len(items), SKETCH_MOST):
-        cells *= 2
-    return np.packbits(np.bincount((items & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
+    """The sketch of one set."""
+    return sketches(Flat.of([items]))[0].tobytes()
 
 
 def _folded(marks: list[bytes]) -> np.ndarray:

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quire.llm.common import handed_back, staged
-from quire.llm.ngram_join import NO_PRINTS, WORDS, hashed_words, shingles
-from quire.llm.stars import linked, mix, text_slices
+from quire.llm.ngram_join import NO_PRINTS, WORDS, shingles
+from quire.llm.stars import Flat, linked, mix, text_slices
 
 MIN_WORDS = 10
 SIMILAR = 0.8
@@ -42,6 +42,9 @@ SPAN, GRAM = 50, 25
 U = np.uint64
 C = U(0x9E3779B97F4A7C15)
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
+SPACES = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+#: Bytes of a word that are hashed eight at a time, for all words at once; a longer word is hashed on its own.
+LONG_WORD = 64
 
 
 def tuned(values: int = VALUES, similar: float = SIMILAR, recall: float = RECALL) -> tuple[int, int]:
@@ -50,17 +53,19 @@ def tuned(values: int = VALUES, similar: float = SIMILAR, recall: float = RECALL
     return values // rows, rows
 
 
-def min_hash_bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def min_hash_bands(sets: list[np.ndarray] | Flat) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, set number of each).  Elements are hashes, so that products with odd numbers order them anew."""
     bands, rows = tuned()
-    flat = np.concatenate(sets)
-    begins = np.cumsum([0, *map(len, sets[:-1])])
+    sets = Flat.of(sets)
+    flat, begins = sets.items, sets.places[:-1]
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=U) * C).reshape(-1, 2)
-    keys = np.empty((len(sets), bands), U)
+    keys, anew = np.empty((len(sets), bands), U), np.empty_like(flat)
     for band in range(bands):
         acc = np.full(len(sets), U(band + 1))
         for flip, factor in seeds[band * rows : (band + 1) * rows]:
-            acc = mix(acc * C + np.minimum.reduceat((flat ^ flip) * (factor | U(1)), begins))
+            np.bitwise_xor(flat, flip, out=anew)
+            np.multiply(anew, factor | U(1), out=anew)
+            acc = mix(acc * C + np.minimum.reduceat(anew, begins))
         keys[:, band] = acc
     return keys.ravel(), np.repeat(np.arange(len(sets)), bands)
 
@@ -74,23 +79,63 @@ class _Sets:
     def __getitem__(self, i: int) -> np.ndarray:
         return np.unique(self.whole[self.places[i] : self.places[i + 1] - WORDS + 1])
 
+    def picked(self, which: np.ndarray) -> Flat:
+        """The sets of the paragraphs `which`, distinct elements as they come."""
+        n = self.places[which + 1] - self.places[which] - WORDS + 1
+        begins = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(which)), n)
+        items = self.whole[np.arange(len(owner)) + np.repeat(self.places[which] - begins, n)]
+        # the few elements that a set may hold twice are found by a hash with the set's number
+        tagged = _hashed(items, owner.astype(U))
+        ordered = np.sort(tagged)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            own = np.flatnonzero(np.isin(tagged, twice))
+            own = own[np.lexsort((items[own], owner[own]))]
+            same = (items[own[1:]] == items[own[:-1]]) & (owner[own[1:]] == owner[own[:-1]])
+            left = np.delete(np.arange(len(items)), own[1:][same])
+            items, n = items[left], np.bincount(owner[left], minlength=len(which))
+        return Flat(items, np.concatenate(([0], np.cumsum(n))))
+
 
 def _summed(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     total = np.concatenate(([U(0)], np.cumsum(x, dtype=U)))
     return total[places[1:]] - total[places[:-1]]
 
 
+def _hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of raw in turn, and where they begin."""
+    import xxhash
+
+    text = np.frombuffer(raw + bytes(8), np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = SPACES[text[: len(raw)]]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    begin, n = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw) + 1, U, text, strides=(1,))
+    h, at = mix(n.astype(U) * C), np.flatnonzero(n <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        at = at[n[at] > done]
+        if not len(at):
+            break
+        rest = np.minimum(n[at] - done, 8).astype(U)
+        h[at] = _hashed(h[at], eight[begin[at] + done] & (~U(0) >> (U(64) - U(8) * rest)))
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : begin[i] + n[i]])
+    return h, begin
+
+
 def _lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the texts' words in turn; the words of each line, its text and its number there."""
-    lines, of, nth = [], [], []
-    for i, text in enumerate(texts):
-        if text:
-            own = text.lower().split(b"\n")
-            lines += own
-            of += [i] * len(own)
-            nth += range(len(own))
-    h, places = hashed_words(lines)
-    return h, places, np.array(of, np.int64), np.array(nth, np.int32)
+    """Hashes of the texts' words in turn; where the words of each line begin (one more place), its text and its number there."""
+    held = [i for i, t in enumerate(texts) if t]
+    if not held:
+        return np.empty(0, U), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    raw = b"\n".join([texts[i] for i in held]).lower()
+    n = np.array([texts[i].count(b"\n") + 1 for i in held])
+    h, begin = _hashed_words(raw)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == ord("\n"))
+    places = np.concatenate(([0], np.searchsorted(begin, ends), [len(h)]))
+    return h, places, np.repeat(np.array(held), n), (np.arange(len(places) - 1) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
 
 
 def read_paragraphs(texts: list[bytes | None]) -> tuple:
